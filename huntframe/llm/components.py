@@ -31,10 +31,13 @@ def _shift(vertex: Column, level: int, beta: float) -> Column:
 
 def grow(edges: DataFrame, level: int, beta: float, rounds: int) -> DataFrame:
     """``(v, center)``: the clusters after some relaxation rounds over ``(src, dst)``, both directions."""
-    state = edges.select(F.col("src").alias("v")).distinct().select("v", F.struct(_shift(F.col("v"), level, beta).alias("value"), F.col("v").alias("center")).alias("s"))
+    # A vertex is its own neighbour at distance 0, so that a round reads the state once and the plan stays a chain.
+    vertices = edges.select(F.col("src").alias("v")).distinct()
+    near = edges.select("src", "dst", F.lit(1.0).alias("step")).unionByName(vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("step")))
+    state = vertices.select("v", F.struct(_shift(F.col("v"), level, beta).alias("value"), F.col("v").alias("center")).alias("s"))
     for _ in range(rounds):
-        sent = edges.join(state, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), F.struct((F.col("s.value") - 1.0).alias("value"), F.col("s.center").alias("center")).alias("s"))
-        state = state.unionByName(sent).groupBy("v").agg(F.max("s").alias("s"))
+        sent = near.join(state, F.col("src") == F.col("v")).select("dst", F.struct((F.col("s.value") - F.col("step")).alias("value"), F.col("s.center").alias("center")).alias("s"))
+        state = sent.groupBy(F.col("dst").alias("v")).agg(F.max("s").alias("s"))
     return state.select("v", F.col("s.center").alias("center"))
 
 
