@@ -6,6 +6,8 @@ as one key matrix for a whole batch of queries, holds nodes by the distance to t
 the nearest is popped, inner nodes push their children, leaves are visits. How many leaves to
 visit is calibrated: the exact neighbours of a sample of queries are found by a blocked scan
 of all vectors, and visits are widened until the leaves visited hold the wanted share of them.
+Every query first visits a few leaves; the k-th cosine that it found there tells how far it is
+widened, as queries in thin places need many leaves and most need few.
 
 Queries are then sent to the leaves they visit and meet the members there as matrix products
 in blocks of bounded size, so a full leaf is many tasks; each block answers with its best few
@@ -36,7 +38,9 @@ from huntframe.session import Stages
 #: Vectors that the tree is trained on, at most (64 numbers each: 17 MB on the driver).
 TRAIN_SAMPLE = 65_536
 #: Queries whose neighbours are found exactly to calibrate the visits.
-CALIBRATION = 256
+CALIBRATION = 1_024
+#: Leaves that every query visits before it is decided how far to widen, and ranges to decide by.
+FIRST_VISITS, RANGES = 2, 12
 #: Members of a leaf block and queries that meet them in one product.
 BLOCK = 4_096
 
@@ -91,15 +95,17 @@ class Tree:
         self.inner = np.array([b > a for a, b in self.children])
         self.leaves = int((~self.inner).sum())
 
-    def visit(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The first leaves of each query in best-bin-first order, as (queries, count)."""
-        count = min(count, self.leaves)
-        n = len(x)
-        keys = np.full((n, len(self.centers)), np.inf, dtype=np.float32)
+    def visit(self, x: np.ndarray, count: int | np.ndarray) -> np.ndarray:
+        """The first leaves of each query in best-bin-first order, as (queries, greatest count).
+
+        ``count`` may differ by query; places beyond it hold -1.
+        """
+        count = np.minimum(np.broadcast_to(count, len(x)), self.leaves)
+        out = np.full((len(x), int(count.max(initial=1))), -1, dtype=np.int32)
+        keys = np.full((len(x), len(self.centers)), np.inf, dtype=np.float32)
         keys[:, 0] = 0
-        out = np.full((n, count), -1, dtype=np.int32)
-        found = np.zeros(n, dtype=np.int64)
-        live = np.arange(n)
+        found = np.zeros(len(x), dtype=np.int64)
+        live = np.flatnonzero(count > 0)
         while len(live):
             node = keys[live].argmin(1)
             keys[live, node] = np.inf
@@ -111,7 +117,7 @@ class Tree:
                 who = live[node == p]
                 a, b = self.children[p]
                 keys[who, a:b] = _distances(x[who], self.centers[a:b])
-            live = live[found[live] < count]
+            live = live[found[live] < count[live]]
         return out
 
 
@@ -163,9 +169,14 @@ def _exact(classes: DataFrame, queries: np.ndarray, most: int) -> DataFrame:
     return classes.select("cid", "leaf", "vec").mapInPandas(run, "q int, cid bigint, leaf int, score double")
 
 
-def calibrated(tree: Tree, classes: DataFrame, dim: int, most: int, recall: float) -> int:
-    """How many leaves to visit: widened until those of the sample hold the wanted share of neighbours."""
-    some = classes.orderBy(F.xxhash64(F.lit(2), "cid")).limit(CALIBRATION).select("cid", "k", "vec").toPandas()
+def calibrated(tree: Tree, classes: DataFrame, near: DataFrame, dim: int, most: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far to widen: upper ends of ranges of the k-th cosine found so far, and visits for each.
+
+    A sample of queries is compared with all vectors. The visits of a range are widened until
+    the leaves visited hold the wanted share of the true neighbours of its queries.
+    """
+    some = classes.where("k > 0").orderBy(F.xxhash64(F.lit(2), "cid")).limit(CALIBRATION).select("cid", "k", "vec")
+    some = some.join(near.select("cid", "least"), "cid").toPandas()
     queries = _unit(some.vec, dim)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     truth = _exact(classes, queries, most + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= most + 1).orderBy("q", "r").toPandas()
@@ -174,14 +185,18 @@ def calibrated(tree: Tree, classes: DataFrame, dim: int, most: int, recall: floa
     order = tree.visit(queries.astype(np.float32), tree.leaves)
     place = np.empty((len(order), len(tree.centers)), dtype=np.int32)
     np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
-    depth = np.sort(place[truth.q.to_numpy(), truth.leaf.to_numpy()])
-    visits = 1
-    while visits < tree.leaves and (depth < visits).mean() < recall:
-        visits += 1
-    return visits
-
-
-def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str = "vec", k: str = "knn", recall: float = 0.995, leaf_rows: int = 256) -> DataFrame:
+    depth = place[truth.q.to_numpy(), truth.leaf.to_numpy()]
+    ends = np.unique(np.quantile(some.least, np.linspace(0, 1, RANGES + 1)[1:-1]))
+    range_ = np.searchsorted(ends, some.least.to_numpy())[truth.q.to_numpy()]
+    visits = np.full(len(ends) + 1, FIRST_VISITS)
+    for r in range(len(visits)):
+        d = depth[range_ == r]
+        while len(d) and visits[r] < tree.leaves and (d < visits[r]).mean() < recall:
+            visits[r] += 1
+    return ends, visits
+
+
+def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str = "vec", k: str = "knn", recall: float = 0.99, leaf_rows: int = 512) -> DataFrame:
     """``(id, other, cosine)``: the k most similar vectors of every vector."""
     spark = vectors.sparkSession
     stages = Stages(spark, "knn")
@@ -207,28 +222,28 @@ def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str =
                 yield part.assign(leaf=tree.visit(_unit(part.vec, dim).astype(np.float32), 1)[:, 0])
 
     classes = stages.cut(vecs.mapInPandas(index, "cid bigint, k int, vec binary, leaf int"), "classes")
-    visits = calibrated(tree, classes, dim, most, recall)
-
     # Full leaves are dealt to blocks of members; the list of blocks has one entry per leaf.
     blocks = np.ones(len(tree.centers), dtype=np.int64)
     for leaf, n in classes.groupBy("leaf").count().collect():
         blocks[leaf] = -(-n // BLOCK)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Queries by the leaf blocks they visit; a class's own row goes to one block as a member."""
+        """Queries by the leaf blocks of their visits from ``lo`` to ``hi``; each class's own row is a member of one block."""
         for f in frames:
             for a in range(0, len(f), BLOCK):
                 part = f.iloc[a : a + BLOCK]
                 own = part.assign(block=part.cid.to_numpy() % blocks[part.leaf.to_numpy()], member=True)
-                part = part[part.k > 0]
-                to = tree.visit(_unit(part.vec, dim).astype(np.float32), visits) if len(part) else np.zeros((0, 1), np.int32)
-                who, leaf = np.repeat(np.arange(len(part)), to.shape[1]), to.ravel()
+                part = part[part.hi > part.lo]
+                to = tree.visit(_unit(part.vec, dim).astype(np.float32), part.hi.to_numpy()) if len(part) else np.zeros((0, 1), np.int32)
+                who, nth = np.nonzero((to >= 0) & (np.arange(to.shape[1])[None, :] >= part.lo.to_numpy()[:, None]))
+                leaf = to[who, nth]
                 times = blocks[leaf]
                 block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 who, leaf = np.repeat(who, times), np.repeat(leaf, times)
-                yield pd.concat([own, part.iloc[who].assign(leaf=leaf, block=block, member=False)], ignore_index=True)
+                yield pd.concat([own, part.iloc[who].assign(leaf=leaf, block=block, member=False)], ignore_index=True)[["cid", "vec", "least", "leaf", "block", "member"]]
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
+        """Each query's best members of one block, as far as they reach what it has already."""
         m, q = f[f.member], f[~f.member]
         out = []
         if len(m) and len(q):
@@ -237,19 +252,35 @@ def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str =
                 part = q.iloc[a : a + BLOCK // 4]
                 s = np.round(_unit(part.vec, dim) @ base.T, 6)
                 i, j = _best(s, cid, most + 1)
+                keep = s[i, j] >= part.least.to_numpy()[i]
+                i, j = i[keep], j[keep]
                 at = np.searchsorted(i, np.arange(len(part) + 1))
                 other, score = cid[j], s[i, j]
-                out += [(c, other[x:y], score[x:y]) for c, x, y in zip(part.cid.tolist(), at[:-1].tolist(), at[1:].tolist())]
+                out += [(c, other[x:y], score[x:y]) for c, x, y in zip(part.cid.tolist(), at[:-1].tolist(), at[1:].tolist()) if y > x]
         return pd.DataFrame(out, columns=["cid", "other", "cosine"])
 
-    routed = classes.mapInPandas(route, "cid bigint, k int, vec binary, leaf int, block bigint, member boolean")
-    answers = routed.groupBy("leaf", "block").applyInPandas(meet, "cid bigint, other array<bigint>, cosine array<double>")
-    # Each query has one answer per block that it met; the best classes of all of them.
-    found = F.flatten(F.collect_list(F.zip_with("cosine", "other", lambda c, o: F.struct((-c).alias("far"), o.alias("other")))))
-    merged = answers.groupBy("cid").agg(F.slice(F.array_sort(found), 1, most + 1).alias("near"))
+    def asked(queries: DataFrame) -> DataFrame:
+        routed = queries.select("cid", "vec", "leaf", "lo", "hi", "least").mapInPandas(route, "cid bigint, vec binary, least double, leaf int, block bigint, member boolean")
+        answers = routed.groupBy("leaf", "block").applyInPandas(meet, "cid bigint, other array<bigint>, cosine array<double>")
+        return answers.select("cid", F.zip_with("cosine", "other", lambda c, o: F.struct((-c).alias("far"), o.alias("other"))).alias("found"))
+
+    def best(answers: DataFrame) -> DataFrame:
+        return answers.groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, most + 1).alias("found"))
+
+    first = classes.withColumns({"lo": F.lit(0), "hi": F.when(F.col("k") > 0, FIRST_VISITS).otherwise(0), "least": F.lit(-2.0)})
+    # The k-th best so far, the query itself not counted: what a further visit has to reach.
+    near = best(asked(first)).join(classes.select("cid", "k"), "cid").withColumn("least", F.coalesce(-F.get("found", F.col("k"))["far"], F.lit(-2.0)))
+    near = stages.cut(near.select("cid", "found", "least"), "near")
+    ends, visits = calibrated(tree, classes, near, dim, most, recall)
+    wider = F.lit(int(visits[0]))
+    for end, n in zip(ends, visits[1:]):
+        wider = F.when(F.col("least") > float(end), int(n)).otherwise(wider)
+    again = classes.join(near.select("cid", "least"), "cid", "left").withColumns({"lo": F.lit(FIRST_VISITS), "hi": F.when(F.col("least").isNotNull(), wider).otherwise(0)})
+    merged = best(asked(again).unionByName(near.select("cid", "found")))
+
     copies = ids.where(F.size("ids") > 1).select(F.col("ids")[0].alias("first"), "ids")
     options = (
-        merged.select("cid", F.explode("near").alias("n"))
+        merged.select("cid", F.explode("found").alias("n"))
         .join(copies, F.col("n.other") == F.col("first"), "left")
         .select("cid", F.explode(F.coalesce("ids", F.array("n.other"))).alias("other"), F.col("n.far").alias("far"))
         .groupBy("cid")
