@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from huntframe.functions.text import stripped
 from huntframe.sources.versioned import VersionedTable
+from huntframe.types import schema
 
 US = 1_000_000
 DAY = 86_400 * US
@@ -46,7 +46,7 @@ _MONTH_FIRST = (_WEEKDAY + _MONTH + r" +(\d{1,2})(?:,? +(\d{4}))?,? +" + _CLOCK,
 _CTIME = (_WEEKDAY + _MONTH + r" +(\d{1,2}) +(\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d{1,12}))? +" + _ZONE + r" *(\d{4})$", "$8|$1|$2|$3|$4|$5|$6||$7")
 _DAY_FIRST = (_WEEKDAY + r"(\d{1,2})[. /-]+" + _MONTH + r"[ /-]+(\d{4})[: t]+ *" + _CLOCK, "$3|$2|$1|$4|$5|$6|$7|$8|$9")
 
-DICTIONARY = T.StructType.fromDDL("ts_text string, zone string, date_order string, near_year int, candidates array<bigint>")
+DICTIONARY = schema("ts_text string, zone string, date_order string, near_year int, candidates array<bigint>")
 KEYS = ["ts_text", "zone", "date_order", "near_year"]
 
 

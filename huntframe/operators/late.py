@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from huntframe.sources.versioned import VersionedTable
+from huntframe.types import schema
 
 HOUR = 3_600_000_000
-SEEN = T.StructType.fromDDL("id string, tenant string, hour_us bigint, arrival bigint")
-COUNTS = T.StructType.fromDDL("tenant string, hour_us bigint, n_first bigint, n_final bigint, n_refused bigint, n_late bigint")
+SEEN = schema("id string, tenant string, hour_us bigint, arrival bigint")
+COUNTS = schema("tenant string, hour_us bigint, n_first bigint, n_final bigint, n_refused bigint, n_late bigint")
 REFUSED = SEEN
 
 

@@ -19,13 +19,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from huntframe.functions.text import stripped
 from huntframe.sources.versioned import VersionedTable
+from huntframe.types import schema
 
 DAY = 86_400_000_000
-SESSION = T.StructType.fromDDL("owner_kind string, owner_name string, start_us bigint, end_us bigint, n_events bigint")
+SESSION = schema("owner_kind string, owner_name string, start_us bigint, end_us bigint, n_events bigint")
 OWNER = ["owner_kind", "owner_name"]
 
 
