@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from huntframe.functions.text import let
 from huntframe.schema import lookup
 
 # Keywords that raise the anomaly score, base scores, tactic and action tables.
@@ -24,14 +25,15 @@ ACTION_OF_CLASS = {3002: "authenticate", 1007: "execute", 1001: "access", 4001:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits."""
-    chars = F.split(text, "")
-    n = F.length(text)
 
-    def share(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return -p * F.log2(p)
+    def of(chars: Column) -> Column:
+        def share(c: Column) -> Column:
+            p = F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+            return -p * F.log2(p)
 
-    return F.when(n > 0, F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+        return F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, b: a + b)
+
+    return F.when(F.length(text) > 0, let(F.split(text, ""), of)).otherwise(F.lit(0.0))
 
 
 def domain_label(name: Column) -> Column:
@@ -100,9 +102,13 @@ def hash_embed(text: Column, dim: int = 128) -> Column:
         return F.when(F.conv(F.substring(F.sha1(t), 32, 1), 16, 10).cast("int") % 4 >= 2, -1.0).otherwise(1.0)
 
     placed = F.transform(tokens, lambda t: F.struct(place(t).alias("p"), sign(t).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(placed, F.lit(0.0), lambda a, t: a + F.when(t["p"] == i, t["s"]).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    sums = F.aggregate(placed, F.array_repeat(F.lit(0.0), dim), lambda acc, t: F.transform(acc, lambda x, i: F.when(i == t["p"], x + t["s"]).otherwise(x)))
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(F.struct(v.alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
+
+    return let(sums, unit)
 
 
 def dot(a: Column, b: Column) -> Column:

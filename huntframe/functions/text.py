@@ -11,3 +11,8 @@ _EDGE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 def stripped(text: Column) -> Column:
     """Without white space (Unicode's too) at both ends."""
     return F.regexp_replace(text, f"^{_EDGE}|{_EDGE}$", "")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

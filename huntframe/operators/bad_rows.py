@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.functions.text import stripped
+from huntframe.functions.text import let, stripped
 
 CELL = "struct<item:int,col:string,val:string,kind:string>"
 
@@ -105,28 +105,31 @@ def _csv(text: Column) -> tuple[Column, Column, Column]:
     """Quoting, number of cells, cells. Pieces between quotes alternate between outside and
     inside; an empty outside piece between two insides is a doubled quote."""
     names = ["src_ip", "src_port", "dst_ip", "dst_port", "proto", "action", "bytes", "rule", "comment"]
-    pieces = F.split(text, '"')
-    last = F.size(pieces) - 1
-
-    def outside_ok(p: Column, i: Column) -> Column:
-        return (
-            F.when(i % 2 == 1, True)
-            .when(p == "", True)
-            .when(i == 0, (last == 0) | p.endswith(","))
-            .when(i == last, p.startswith(","))
-            .otherwise(p.startswith(",") & p.endswith(","))
-        )
 
-    good = (last % 2 == 0) & F.forall(F.transform(pieces, outside_ok), lambda x: x)
-    plain = F.transform(
-        pieces,
-        lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < last), '"').otherwise(F.replace(p, F.lit(","), F.lit(_COMMA))),
-    )
-    values = F.split(F.array_join(plain, ""), _COMMA)
-    cells = F.transform(
-        F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("n"), F.slice(values, 1, len(names)).alias("v")),
-        lambda z: _cell(z["n"], z["v"]),
-    )
+    def form(pieces: Column) -> Column:
+        """Whether quotes pair, and the text with separators marked; both from one split."""
+        sized = F.struct(pieces.alias("p"), (F.size(pieces) - 1).alias("last"))
+
+        def judge(s: Column) -> Column:
+            def good(p: Column, i: Column) -> Column:
+                return (
+                    F.when((i % 2 == 1) | (p == ""), True)
+                    .when(i == 0, (s["last"] == 0) | p.endswith(","))
+                    .when(i == s["last"], p.startswith(","))
+                    .otherwise(p.startswith(",") & p.endswith(","))
+                )
+
+            def plain(p: Column, i: Column) -> Column:
+                return F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < s["last"]), '"').otherwise(F.replace(p, F.lit(","), F.lit(_COMMA)))
+
+            paired = (s["last"] % 2 == 0) & F.forall(F.transform(s["p"], good), lambda x: x)
+            return F.struct(paired.alias("good"), F.split(F.array_join(F.transform(s["p"], plain), ""), _COMMA).alias("cells"))
+
+        return let(sized, judge)
+
+    parsed = let(F.split(text, '"'), form)
+    good, values = parsed["good"], parsed["cells"]
+    cells = let(values, lambda v: F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("n"), F.slice(v, 1, len(names)).alias("v")), lambda z: _cell(z["n"], z["v"])))
     return good, F.when(good, F.size(values)), F.when(good & (F.size(values) == len(names)), cells)
 
 

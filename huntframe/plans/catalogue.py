@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from huntframe.plans import data_quality
+from huntframe.plans import analytics, data_quality, detection
 
-MODULES = [data_quality]
+MODULES = [analytics, detection, data_quality]
 
 
 def queries() -> dict:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huntframe.functions.text import let
+
 MAP = "map<string,string>"
 _EMPTY = "cast(map() as map<string,string>)"
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -30,8 +32,12 @@ def _merge(low: Column, high: Column) -> Column:
 
 def _from_pairs(pairs: Column) -> Column:
     """A map of ``array<struct<key,value>>``; of repeated names the last holds."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value"))))
+
+    def unique(ps: Column) -> Column:
+        keys = F.array_distinct(F.transform(ps, lambda p: p["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(ps, lambda p: p["key"] == k), -1)["value"].alias("value"))))
+
+    return let(pairs, unique)
 
 
 def raw(text: Column) -> Column:
