@@ -268,9 +268,12 @@ def failures(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str
 def loaded(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
     """The frames that keep their form, once each, with the cells as a map.
 
-    Field names of the second and later objects of a JSON array carry the object's number.
+    Field names of the second and later objects of a JSON array carry the object's number. An
+    input column named ``fields`` gives way to the map; rows without a key count as one frame.
     """
-    good = frames.join(failures(frames, raw, codec, key), key, "left_anti").dropDuplicates([key])
+    bad = failures(frames, raw, codec, key).select(F.col(key).alias("_bad"))
+    kept = frames.select(*[c for c in frames.columns if c != "fields"])
+    good = kept.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti").dropDuplicates([key])
     name = F.when(F.col("item") > 0, F.concat(F.col("item").cast("string"), F.lit("."), F.col("col"))).otherwise(F.col("col"))
     fields = (
         cells(good, raw, codec, key)
@@ -278,4 +281,5 @@ def loaded(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str =
         .groupBy("key")
         .agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(name.alias("k"), F.coalesce("val", F.lit("")).alias("v"))))).alias("fields"))
     )
-    return good.join(fields.withColumnRenamed("key", key), key, "left")
+    found = fields.select(F.col("key").alias("_found"), "fields")
+    return good.join(found, F.col(key).eqNullSafe(F.col("_found")), "left").drop("_found")

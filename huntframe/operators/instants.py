@@ -55,6 +55,7 @@ def unit_to_us(ts: Column) -> Column:
 
     Units are a factor of 1000 apart, so an instant from 1973 to 2286 tells its unit by its size.
     """
+    ts = ts.cast("bigint")
     size = F.abs(ts)
     return F.when(size < 10**10, ts * US).when(size < 10**13, ts * 1000).when(size < 10**16, ts).otherwise(F.call_function("div", ts, F.lit(1000)))
 
@@ -166,8 +167,8 @@ class InstantDictionary:
 
     def lookup(self, rows: DataFrame, arrival: str = "recv_us") -> DataFrame:
         """Keyed rows with ``ts_us``; rows whose text has no instant keep null."""
-        words = self.table.read().where(F.col("candidates").isNotNull()).select(*[F.col(k).alias(f"d_{k}") for k in KEYS], "candidates")
-        same = [F.col("k_ts_text") == F.col("d_ts_text")] + [F.col(f"k_{k}").eqNullSafe(F.col(f"d_{k}")) for k in KEYS[1:]]
-        nearest = F.array_min(F.transform("candidates", lambda c: F.struct(F.abs(c - F.coalesce(F.col(arrival), F.lit(0))).alias("far"), c.alias("us"))))["us"]
+        words = self.table.read().where(F.col("candidates").isNotNull()).select(*[F.col(k).alias(f"_d_{k}") for k in KEYS], F.col("candidates").alias("_d_candidates"))
+        same = [F.col("k_ts_text") == F.col("_d_ts_text")] + [F.col(f"k_{k}").eqNullSafe(F.col(f"_d_{k}")) for k in KEYS[1:]]
+        nearest = F.array_min(F.transform("_d_candidates", lambda c: F.struct(F.abs(c - F.coalesce(F.col(arrival), F.lit(0))).alias("far"), c.alias("us"))))["us"]
         joined = rows.join(words, same, "left").withColumn("ts_us", nearest)
-        return joined.drop("candidates", *[f"d_{k}" for k in KEYS], *[f"k_{k}" for k in KEYS])
+        return joined.drop("_d_candidates", *[f"_d_{k}" for k in KEYS], *[f"k_{k}" for k in KEYS])

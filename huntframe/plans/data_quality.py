@@ -54,3 +54,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_unified": p2_unified, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+
+_US = "CASE WHEN abs(ts) < 10000000000 THEN ts * 1000000 WHEN abs(ts) < 10000000000000 THEN ts * 1000 WHEN abs(ts) < 10000000000000000 THEN ts ELSE ts // 1000 END"
+ORACLE = {
+    "p2_found": """WITH l AS (SELECT DISTINCT file_id, payload FROM traffic_lines), k AS (SELECT file_id, payload, unnest(json_keys(payload)) AS name FROM l),
+      v AS (SELECT file_id, name, json_extract(payload, '$."' || name || '"') AS j FROM k), t AS (SELECT file_id, name, CAST(j AS VARCHAR) AS val,
+        CASE json_type(j) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS kind
+        FROM v WHERE json_type(j) != 'NULL'),
+      p AS (SELECT file_id, name, min(kind) AS kind, list_sort(list(DISTINCT val)) AS vals FROM t GROUP BY file_id, name),
+      s AS (SELECT DISTINCT file_id, feed, file_no, lag(file_id) OVER (PARTITION BY feed ORDER BY file_no) AS before FROM traffic_files),
+      n AS (SELECT s.file_id, p.name, p.kind, p.vals FROM s JOIN p ON p.file_id = s.file_id WHERE before IS NOT NULL), o AS (SELECT s.file_id, p.name, p.kind, p.vals FROM s JOIN p ON p.file_id = s.before),
+      f AS (SELECT coalesce(n.file_id, o.file_id) AS file_id, o.name AS a, n.name AS b, o.kind AS ka, n.kind AS kb, o.vals AS va, n.vals AS vb FROM n FULL JOIN o ON n.file_id = o.file_id AND n.name = o.name),
+      e AS (SELECT * FROM f WHERE b IS NULL), g AS (SELECT * FROM f WHERE a IS NULL), r AS (SELECT e.file_id, e.a, g.b, e.ka AS kind FROM e JOIN g ON e.file_id = g.file_id AND e.ka = g.kb AND e.va = g.vb)
+      SELECT file_id, 'retyped' AS change_kind, a AS field_before, b AS field_after, ka AS type_before, kb AS type_after FROM f WHERE a IS NOT NULL AND b IS NOT NULL AND ka != kb
+      UNION ALL SELECT file_id, 'renamed', a, b, kind, kind FROM r
+      UNION ALL SELECT file_id, 'removed', a, '', ka, '' FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file_id = e.file_id AND r.a = e.a)
+      UNION ALL SELECT file_id, 'added', '', b, '', kb FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file_id = g.file_id AND r.b = g.b)""",
+    "p4_found": """WITH e AS (SELECT DISTINCT event_id, ts, username, host FROM mixed_traffic),
+      o AS (SELECT ts, CASE WHEN lower(trim(username)) NOT IN ('', '-') THEN 'user' ELSE 'device' END AS owner_kind, CASE WHEN lower(trim(username)) NOT IN ('', '-') THEN lower(trim(username)) WHEN trim(host) != '' THEN host END AS owner_name FROM e),
+      g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= 1800000000 THEN 0 ELSE 1 END AS new FROM o WHERE ts IS NOT NULL AND owner_name IS NOT NULL WINDOW w AS (PARTITION BY owner_kind, owner_name ORDER BY ts)),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY owner_kind, owner_name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+      SELECT owner_kind, owner_name, min(ts) AS start_us, max(ts) AS end_us, max(ts) - min(ts) AS duration_us, count(*) AS n_events FROM s GROUP BY owner_kind, owner_name, nth""",
+    "p6_found": f"""WITH e AS (SELECT id, arg_min(tenant, ingest_ts) AS tenant, arg_min({_US}, ingest_ts) AS t, min(ingest_ts) AS a FROM segment_events GROUP BY id), h AS (SELECT tenant, t // 3600000000 * 3600000000 AS hour_us, a FROM e)
+      SELECT tenant, hour_us, count(*) FILTER (WHERE a < hour_us + 3600000000) AS n_first, count(*) FILTER (WHERE a < hour_us + 25200000000) AS n_final, count(*) FILTER (WHERE a >= hour_us + 25200000000) AS n_refused
+      FROM h GROUP BY tenant, hour_us HAVING count(*) FILTER (WHERE a >= hour_us + 3600000000) > 0""",
+}
