@@ -75,7 +75,7 @@ def pack(items: DataFrame, capacity: int, open_bins: int = 256, key: str = "doc_
     """
     spark = items.sparkSession
     stages = Stages(spark, "packing")
-    rows = stages.cut(items.where(F.col(size) > 0).select(F.col(key), F.col(size).cast("bigint").alias("n")), "items")
+    rows = stages.cut(items.where(F.col(size) > 0).select(F.col(key), F.col(size).cast("bigint").alias("_size")), "items")
     shards = max(1, -(-rows.count() // SHARD_ITEMS))
     kind = rows.schema[key].dataType.simpleString()
 
@@ -83,9 +83,9 @@ def pack(items: DataFrame, capacity: int, open_bins: int = 256, key: str = "doc_
         bins = OpenBins(capacity, open_bins)
         shard = -1
         for f in frames:
-            full = f.n.to_numpy() // capacity
-            rest = f.n.to_numpy() % capacity
-            shard = int(f.shard.iloc[0]) if len(f) else shard
+            full = f["_size"].to_numpy() // capacity
+            rest = f["_size"].to_numpy() % capacity
+            shard = int(f["_shard"].iloc[0]) if len(f) else shard
             whole = np.repeat(np.arange(len(f)), full)
             part = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
             ids = bins.made + np.arange(len(whole))
@@ -105,7 +105,7 @@ def pack(items: DataFrame, capacity: int, open_bins: int = 256, key: str = "doc_
             yield out
 
     # The shard's number is the partition's, so that one task packs one shard from start to end.
-    dealt = rows.repartition(shards, F.xxhash64(key, "n")).sortWithinPartitions(F.xxhash64(key, "n"), key, "n").withColumn("shard", F.spark_partition_id().cast("long"))
+    dealt = rows.repartition(shards, F.xxhash64(key, "_size")).sortWithinPartitions(F.xxhash64(key, "_size"), key, "_size").withColumn("_shard", F.spark_partition_id().cast("long"))
     return dealt.mapInPandas(run, f"{key} {kind}, part_no bigint, first bigint, size bigint, container_id bigint, position bigint")
 
 

@@ -33,4 +33,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p7_found": p7_found, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # The closure of all links; pairs of every group, so for small tables only.
+    "p5_found": """WITH RECURSIVE s AS (SELECT DISTINCT id FROM segment_events), p AS (SELECT 'l' || link_id AS s, unnest([event_a, event_b]) AS id FROM campaign_links UNION SELECT 'c' || campaign_id, unnest(events) FROM campaigns),
+      k AS (SELECT DISTINCT p.s, p.id FROM p JOIN s ON p.id = s.id), h AS (SELECT s, min(id) AS hub FROM k GROUP BY s), e AS (SELECT DISTINCT k.id AS a, h.hub AS b FROM k JOIN h ON k.s = h.s WHERE k.id != h.hub),
+      u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, min(b) AS group_id FROM r GROUP BY a""",
+}
