@@ -46,32 +46,46 @@ def raw(text: Column) -> Column:
 
 def json_records(text: Column) -> Column:
     """An array of maps: one per object; other values are messages, broken text a dead letter."""
-    v = F.try_parse_json(text)
-    one = F.try_variant_get(v, "$", MAP)
-    many = F.try_variant_get(v, "$", "array<variant>")
     value = lambda x: F.try_variant_get(x, "$", "string")
     # Nulls inside objects are the text null.
     full = lambda m: F.transform_values(m, lambda _, x: F.coalesce(x, F.lit("null")))
     element = lambda x: F.coalesce(full(F.try_variant_get(x, "$", MAP)), _map({"message": F.coalesce(value(x), F.lit("null"))}))
     dead = _map({"message": text, "decode_error": F.lit("invalid json")})
-    return F.when(v.isNull(), F.array(dead)).when(one.isNotNull(), F.array(full(one))).when(many.isNotNull(), F.transform(many, element)).otherwise(F.array(_map({"message": F.coalesce(value(v), F.lit("null"))})))
+
+    def records(v: Column) -> Column:
+        one, many = F.try_variant_get(v, "$", MAP), F.try_variant_get(v, "$", "array<variant>")
+        other = F.array(_map({"message": F.coalesce(value(v), F.lit("null"))}))
+        return F.when(v.isNull(), F.array(dead)).otherwise(F.coalesce(let(one, lambda m: F.when(m.isNotNull(), F.array(full(m)))), F.transform(many, element), other))
+
+    return let(F.try_parse_json(text), records)
+
+
+_SD = r"^(-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: |$)"
+_TAG = r"(?s)^([^:\[\s]+)(?:\[(\d+)\])?: (.*)$"
+_OLD = rf"(?s)^({_MONTH} +\d{{1,2}} \d\d:\d\d:\d\d) (\S+) (.*)$"
 
 
 def syslog(text: Column) -> Column:
-    pri = F.regexp_extract(text, r"^<(\d{1,3})>", 1)
-    rest = F.regexp_replace(text, r"^<\d{1,3}>", "")
-    number = F.when(pri != "", pri.cast("int"))
-    head = {"syslog_facility": F.shiftright(number, 3), "syslog_severity": number.bitwiseAND(7)}
-    part = lambda p, i: F.nullif(F.nullif(F.regexp_extract(rest, p, i), F.lit("")), F.lit("-"))
-    modern = r'(?s)^(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) ?(-|(?:\[(?:[^\]\\]|\\.)*\])+)? ?(.*)$'
-    new = _map({**head, "timestamp": part(modern, 2), "host": part(modern, 3), "app": part(modern, 4), "pid": part(modern, 5), "msgid": part(modern, 6), "message": F.regexp_extract(rest, modern, 8)})
-    old = rf"(?s)^({_MONTH} +\d{{1,2}} \d\d:\d\d:\d\d) (\S+) (.*)$"
-    body = F.regexp_extract(rest, old, 3)
-    tag = r"(?s)^([^:\[\s]+)(?:\[(\d+)\])?: (.*)$"
-    tagged = body.rlike(tag)
-    t = lambda i: F.when(tagged, F.nullif(F.regexp_extract(body, tag, i), F.lit("")))
-    then = _map({**head, "timestamp": part(old, 1), "host": part(old, 2), "app": t(1), "pid": t(2), "message": F.when(tagged, F.regexp_extract(body, tag, 3)).otherwise(body)})
-    return F.when(rest.rlike(modern), new).when(rest.rlike(old), then).otherwise(_map({**head, "message": rest}))
+    def of(x: Column) -> Column:
+        number = F.when(x["pri"] != "", x["pri"].cast("int"))
+        head = {"syslog_facility": F.shiftright(number, 3), "syslog_severity": number.bitwiseAND(7)}
+
+        def modern(p: Column) -> Column:
+            word = lambda i: F.nullif(F.nullif(F.get(p, F.lit(i)), F.lit("")), F.lit("-"))
+            body = F.regexp_replace(F.coalesce(F.get(p, F.lit(6)), F.lit("")), _SD, "")
+            return _map({**head, "timestamp": word(1), "host": word(2), "app": word(3), "pid": word(4), "msgid": word(5), "message": body})
+
+        def tagged(body: Column) -> Column:
+            g = F.when(body.rlike(_TAG), F.split(F.regexp_replace(body, _TAG, f"$1{_N}$2{_N}$3"), _N, 3)).otherwise(F.array(F.lit(""), F.lit(""), body))
+            part = lambda t, i: F.nullif(F.get(t, F.lit(i)), F.lit(""))
+            stamp = {"timestamp": F.regexp_extract(x["rest"], _OLD, 1), "host": F.regexp_extract(x["rest"], _OLD, 2)}
+            return let(g, lambda t: _map({**head, **stamp, "app": part(t, 0), "pid": part(t, 1), "message": F.get(t, F.lit(2))}))
+
+        new = F.when(x["rest"].rlike(r"^\d{1,2} \S+ \S+ \S+ \S+ \S+"), let(F.split(x["rest"], " ", 7), modern))
+        old = F.when(x["rest"].rlike(_OLD), let(F.regexp_extract(x["rest"], _OLD, 3), tagged))
+        return F.coalesce(new, old, _map({**head, "message": x["rest"]}))
+
+    return let(F.struct(F.regexp_extract(text, r"^<(\d{1,3})>", 1).alias("pri"), F.regexp_replace(text, r"^<\d{1,3}>", "").alias("rest")), of)
 
 
 def _hide(s: Column) -> Column:
@@ -82,39 +96,58 @@ def _show(s: Column) -> Column:
     return F.replace(F.replace(s, F.lit(_P), F.lit("|")), F.lit(_B), F.lit("\\"))
 
 
+def _entries(parts: Column, sep: str, key, value) -> Column:
+    return F.transform(F.filter(parts, lambda p: F.instr(p, sep) > 0), lambda p: F.struct(key(p).alias("key"), value(p).alias("value")))
+
+
 def cef(text: Column) -> Column:
-    body = F.regexp_extract(text, r"(?s)CEF:(.*)$", 1)
-    f = F.split(_hide(body), r"\|", 8)
-    at = lambda i: F.trim(_show(F.get(f, F.lit(i))))
-    ext = F.regexp_replace(F.get(f, F.lit(7)), r"(?:^|\s+)([A-Za-z][A-Za-z0-9_.]*)=", f"{_N}$1{_I}")
     clean = lambda s: _show(F.replace(F.replace(F.replace(s, F.lit("\\="), F.lit("=")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
-    pairs = F.transform(F.filter(F.split(ext, _N), lambda p: F.instr(p, _I) > 0), lambda p: F.struct(F.substring_index(p, _I, 1).alias("key"), clean(F.trim(F.substring_index(p, _I, -1))).alias("value")))
-    head = _map({"cef_version": at(0), "device_vendor": at(1), "device_product": at(2), "device_version": at(3), "signature_id": at(4), "name": at(5), "cef_severity": at(6), "message": at(5)})
-    good = text.contains("CEF:") & (F.size(f) >= 7)
-    return F.when(good, _merge(head, F.coalesce(_from_pairs(pairs), F.expr(_EMPTY)))).otherwise(_map({"message": text, "decode_error": F.lit("invalid cef")}))
+
+    def of(f: Column) -> Column:
+        at = lambda i: F.trim(_show(F.get(f, F.lit(i))))
+        ext = F.regexp_replace(F.get(f, F.lit(7)), r"(?:^|\s+)([A-Za-z][A-Za-z0-9_.]*)=", f"{_N}$1{_I}")
+        pairs = _entries(F.split(ext, _N), _I, lambda p: F.substring_index(p, _I, 1), lambda p: clean(F.trim(F.substring_index(p, _I, -1))))
+        head = _map({"cef_version": at(0), "device_vendor": at(1), "device_product": at(2), "device_version": at(3), "signature_id": at(4), "name": at(5), "cef_severity": at(6), "message": at(5)})
+        return F.when(F.size(f) >= 7, let(F.struct(head.alias("h"), F.coalesce(_from_pairs(pairs), F.expr(_EMPTY)).alias("e")), lambda m: _merge(m["h"], m["e"])))
+
+    found = let(F.split(_hide(F.regexp_extract(text, r"(?s)CEF:(.*)$", 1)), r"\|", 8), of)
+    return F.coalesce(F.when(text.contains("CEF:"), found), _map({"message": text, "decode_error": F.lit("invalid cef")}))
 
 
 def leef(text: Column) -> Column:
-    body = _hide(F.regexp_extract(text, r"(?s)LEEF:(.*)$", 1))
-    second = F.substring_index(body, "|", 1).startswith("2")
-    f = F.when(second, F.split(body, r"\|", 7)).otherwise(F.split(body, r"\|", 6))
-    at = lambda i: _show(F.get(f, F.lit(i)))
-    code = F.when(second, at(5))
-    hexed = F.regexp_extract(code, r"^0?x([0-9A-Fa-f]{2,4})$", 1)
-    delim = F.when(hexed != "", F.chr(F.conv(hexed, 16, 10).cast("long"))).when(F.length(code) > 0, code).otherwise("\t")
-    attrs = F.split(F.replace(F.when(second, at(6)).otherwise(at(5)), delim, F.lit(_N)), _N)
-    pairs = F.transform(F.filter(attrs, lambda p: F.instr(p, "=") > 0), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
-    attr = F.coalesce(_from_pairs(pairs), F.expr(_EMPTY))
-    message = F.coalesce(F.try_element_at(attr, F.lit("msg")), F.concat(F.lit("LEEF event "), at(4)))
-    head = _map({"leef_version": at(0), "device_vendor": at(1), "device_product": at(2), "device_version": at(3), "event_id": at(4)})
-    good = text.contains("LEEF:") & (F.size(f) == F.when(second, 7).otherwise(6))
-    return F.when(good, _merge(_merge(head, attr), _map({"message": message}))).otherwise(_map({"message": text, "decode_error": F.lit("invalid leef")}))
+    def of(x: Column) -> Column:
+        f, second = x["f"], x["second"]
+        at = lambda i: _show(F.get(f, F.lit(i)))
+        code = F.when(second, at(5))
+        hexed = F.regexp_extract(code, r"^0?x([0-9A-Fa-f]{2,4})$", 1)
+        delim = F.when(hexed != "", F.chr(F.conv(hexed, 16, 10).cast("long"))).when(F.length(code) > 0, code).otherwise("\t")
+        attrs = F.split(F.replace(F.when(second, at(6)).otherwise(at(5)), delim, F.lit(_N)), _N)
+        pairs = _entries(attrs, "=", lambda p: F.trim(F.substring_index(p, "=", 1)), lambda p: F.trim(F.substr(p, F.instr(p, "=") + 1)))
+        head = _map({"leef_version": at(0), "device_vendor": at(1), "device_product": at(2), "device_version": at(3), "event_id": at(4)})
+
+        def joined(m: Column) -> Column:
+            message = F.coalesce(F.try_element_at(m["e"], F.lit("msg")), F.concat(F.lit("LEEF event "), at(4)))
+            return let(_merge(m["h"], m["e"]), lambda both: _merge(both, F.create_map(F.lit("message"), message)))
+
+        return F.when(F.size(f) == F.when(second, 7).otherwise(6), let(F.struct(head.alias("h"), F.coalesce(_from_pairs(pairs), F.expr(_EMPTY)).alias("e")), joined))
+
+    def fields(body: Column) -> Column:
+        second = F.substring_index(body, "|", 1).startswith("2")
+        return F.struct(second.alias("second"), F.when(second, F.split(body, r"\|", 7)).otherwise(F.split(body, r"\|", 6)).alias("f"))
+
+    found = let(let(_hide(F.regexp_extract(text, r"(?s)LEEF:(.*)$", 1)), fields), of)
+    return F.coalesce(F.when(text.contains("LEEF:"), found), _map({"message": text, "decode_error": F.lit("invalid leef")}))
 
 
 def csv(text: Column) -> Column:
-    parsed = F.from_csv(text, ", ".join(f"{c} string" for c in CSV_COLUMNS) + ", more string", {"escape": '"', "mode": "PERMISSIVE"})
-    good = parsed["comment"].isNotNull() | (F.size(F.split(text, ",")) >= len(CSV_COLUMNS))
-    return F.when(good, _merge(_map({c: parsed[c] for c in CSV_COLUMNS}), _map({"message": F.coalesce(parsed["comment"], F.lit(""))}))).otherwise(_map({"message": text, "decode_error": F.lit("invalid csv")}))
+    columns = ", ".join(f"{c} string" for c in CSV_COLUMNS) + ", more string"
+
+    def of(p: Column) -> Column:
+        good = p["comment"].isNotNull() | (F.size(F.split(text, ",")) >= len(CSV_COLUMNS))
+        return F.when(good, _map({**{c: p[c] for c in CSV_COLUMNS}, "message": F.coalesce(p["comment"], F.lit(""))}))
+
+    found = let(F.from_csv(text, columns, {"escape": '"', "mode": "PERMISSIVE"}), of)
+    return F.coalesce(found, _map({"message": text, "decode_error": F.lit("invalid csv")}))
 
 
 CODECS = {"json": json_records, "syslog": syslog, "cef": cef, "leef": leef, "csv": csv}
