@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions.text import stripped
+from huntframe.session import Stages
 from huntframe.sources.versioned import VersionedTable
 from huntframe.types import schema
 
@@ -113,6 +114,7 @@ def sessions(events: DataFrame, path: str, *, key: str, ts: str, user: Column, d
     spark = events.sparkSession
     store = SessionTable(spark, path, gap_us)
     rows = once(owners(events.select(F.col(key).alias("k"), F.col(ts).alias("t"), user.alias("u"), device.alias("d")), F.col("u"), F.col("d")).select("k", "t", *OWNER), "k", "t")
+    rows = Stages(spark, "activity").cut(rows, "rows")
     part = F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.concat_ws("|", "t", *OWNER))), F.lit(batches))
     for n in range(batches):
         store.merge(local_sessions(rows.where(part == n), "t", gap_us))
