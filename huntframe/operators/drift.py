@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huntframe.session import Stages
+
 CHANGE = "file_id bigint, change_kind string, field_before string, field_after string, type_before string, type_after string"
 
 
@@ -183,7 +185,7 @@ def canonical(files: DataFrame, columns: DataFrame, changed: DataFrame) -> DataF
 
 def unified(files: DataFrame, lines: DataFrame, payload: str = "payload") -> DataFrame:
     """Every line as ``(file_id, line_no, fields map<string,string>)`` under unified names."""
-    columns = profiles(lines, payload)
+    columns = Stages(lines.sparkSession, "unified").cut(profiles(lines, payload), "columns")
     names = canonical(files, columns, changes(files, columns)).select("file_id", "name", "column")
     object_ = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
     cells = (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.operators import bad_rows, drift, instants, late, sessions
-from huntframe.session import scratch, table
+from huntframe.session import Stages, scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,8 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(table(spark, d, "traffic_files"), drift.profiles(table(spark, d, "traffic_lines")))
+    columns = Stages(spark, "drift").cut(drift.profiles(table(spark, d, "traffic_lines")), "columns")
+    return drift.changes(table(spark, d, "traffic_files"), columns)
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
