@@ -1,15 +1,16 @@
 """Containers of fixed capacity filled with items of varying size, by bounded best fit.
 
 Items are dealt by a hash of their key to shards of a size that does not depend on the corpus;
-a shard is packed online with a fixed number of open containers. The open ones are kept in a
-bitset keyed by free space: the best fit for an item of size s is the lowest set bit from s
-upwards, found by one shift and one mask. If no open container fits and the allowed number is
-open, the fullest closes first. What is lost is at most the open containers at a shard's end.
+a shard is packed online with a fixed number of open containers, its items arriving by size,
+the largest first, so that small ones come last and fill what is left. The open ones are kept
+in a bitset keyed by free space: the best fit for an item of size s is the lowest set bit from
+s upwards, found by one shift and one mask. If no open container fits and the allowed number
+is open, the fullest closes first.
 
 An item larger than a container is cut into full containers and a rest; nothing else is split.
 
-Defined cases: null and zero sizes are no items; items of equal size keep the order of their
-hash and key; repeated keys are items of their own; an empty table gives an empty result;
+Defined cases: null and zero sizes are no items; items of equal size keep the order of the
+hash of their key, then of the key; repeated keys are items of their own; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -26,6 +27,8 @@ from huntframe.session import Stages
 
 #: Items of a shard: small enough for one task, large enough that its open ends do not matter.
 SHARD_ITEMS = 50_000
+#: Open containers of a shard: its memory, whatever the items.
+OPEN_BINS = 32_768
 
 
 class OpenBins:
@@ -67,7 +70,7 @@ class OpenBins:
         return bin_, self.capacity - free
 
 
-def pack(items: DataFrame, capacity: int, open_bins: int = 256, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(items: DataFrame, capacity: int, open_bins: int = OPEN_BINS, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """``(key, part_no, first, size, container_id, position)``.
 
     ``first`` is where the part starts in its item, ``position`` where it starts in its
@@ -105,7 +108,7 @@ def pack(items: DataFrame, capacity: int, open_bins: int = 256, key: str = "doc_
             yield out
 
     # The shard's number is the partition's, so that one task packs one shard from start to end.
-    dealt = rows.repartition(shards, F.xxhash64(key, "_size")).sortWithinPartitions(F.xxhash64(key, "_size"), key, "_size").withColumn("_shard", F.spark_partition_id().cast("long"))
+    dealt = rows.repartition(shards, F.xxhash64(key, "_size")).sortWithinPartitions(F.desc("_size"), F.xxhash64(key), key).withColumn("_shard", F.spark_partition_id().cast("long"))
     return dealt.mapInPandas(run, f"{key} {kind}, part_no bigint, first bigint, size bigint, container_id bigint, position bigint")
 
 
