@@ -1,4 +1,4 @@
-"""A streaming source that follows growing text files.
+"""Streaming sources: growing text files, and datagrams of a port.
 
 Offsets are bytes per file. Only lines that end are read; a file that shrinks is read anew;
 blank lines are skipped. Offsets are planned on the driver and committed with the stream's
@@ -10,9 +10,10 @@ from __future__ import annotations
 import glob
 import json
 import os
+import socket
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
@@ -99,3 +100,55 @@ def tail(spark: SparkSession, pattern: str):
 def socket_lines(spark: SparkSession, host: str, port: int):
     """Newline-framed lines of a TCP peer, for tests."""
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+class DatagramReader(SimpleDataSourceStreamReader):
+    """Datagrams of a UDP port, one frame each, kept until the stream has committed them."""
+
+    def __init__(self, options: dict[str, str]):
+        # Spark makes several readers; the one that reads is the one that listens.
+        self.address, self.socket = (options.get("host", "127.0.0.1"), int(options["port"])), None
+        self.kept: dict[int, str] = {}
+        self.next = 0
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def read(self, start: dict):
+        if self.socket is None:
+            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.socket.bind(self.address)
+            self.socket.setblocking(False)
+        while True:
+            try:
+                self.kept[self.next] = self.socket.recv(65_536).decode("utf-8", "replace")
+                self.next += 1
+            except BlockingIOError:
+                break
+        at = int(start["n"])
+        return iter([(i, self.kept[i]) for i in range(at, self.next) if i in self.kept]), {"n": self.next}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([(i, self.kept[i]) for i in range(int(start["n"]), int(end["n"])) if i in self.kept])
+
+    def commit(self, end: dict) -> None:
+        for i in [i for i in self.kept if i < int(end["n"])]:
+            del self.kept[i]
+
+
+class DatagramSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "huntframe_datagrams"
+
+    def schema(self) -> StructType:
+        return StructType([StructField("n", LongType()), StructField("raw", StringType())])
+
+    def simpleStreamReader(self, schema: StructType) -> DatagramReader:
+        return DatagramReader(self.options)
+
+
+def datagrams(spark: SparkSession, port: int, host: str = "127.0.0.1"):
+    """Frames of a UDP syslog listener, as a stream; the listener runs beside the driver."""
+    spark.dataSource.register(DatagramSource)
+    return spark.readStream.format("huntframe_datagrams").option("host", host).option("port", port).load()
