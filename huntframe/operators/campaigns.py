@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions import scores
-from huntframe.operators.graph import components, entity_keys, entity_links
+from huntframe.operators.graph import components, entity_keys, entity_links, with_previous
 from huntframe.session import Stages
 
 MINUTE = 60_000_000
@@ -75,9 +75,8 @@ def causal_edges(members: DataFrame, events: DataFrame, window_us: int = 30 * MI
     """
     rows = events.join(members, "id").withColumns({"keys": F.array_distinct(entity_keys()), "anomaly": scores.anomaly(F.col("severity_id"), F.col("message"))})
     slim = rows.select("campaign", "id", "ts", "anomaly", "keys", F.explode("keys").alias("entity"))
-    order = Window.partitionBy("campaign", "entity").orderBy("ts", "id")
-    steps = slim.withColumns({"src": F.lag("id").over(order), "delta_us": F.col("ts") - F.lag("ts").over(order), "before": F.lag("keys").over(order)})
-    steps = steps.where(F.col("delta_us") <= window_us).withColumn("shared", F.array_join(F.array_intersect("before", "keys"), ", "))
+    steps = with_previous(slim, ["campaign", "entity"], window_us).where(F.col("prev").isNotNull())
+    steps = steps.withColumns({"src": F.col("prev.id"), "delta_us": F.col("ts") - F.col("prev.ts"), "shared": F.array_join(F.array_intersect("prev.keys", "keys"), ", ")})
     edges = steps.groupBy("campaign", "src", F.col("id").alias("dst")).agg(F.first("delta_us").alias("delta_us"), F.first("anomaly").alias("anomaly"), F.first("shared").alias("shared"))
     reason = F.concat(F.lit("shares "), F.col("shared"), F.lit("; Δt="), scores.time_gap(F.col("delta_us")))
     return edges.select("campaign", "src", "dst", "delta_us", F.round(scores.edge_score(F.col("delta_us"), F.col("anomaly")), 6).alias("score"), "shared", reason.alias("reason"))

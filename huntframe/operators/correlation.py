@@ -5,10 +5,11 @@ is older than the span; when the condition holds, one correlated alert is emitte
 window is emptied. A range frame over-reports this, so it is a fold.
 
 Where two neighbouring alerts of a group lie further apart than the span, nothing of the past
-is left in the window; the fold may start anew there. Groups are cut at such gaps by a window
-function that streams through sorted rows, the pieces are spread over tasks, and each task
-folds its sorted rows one after another, holding no more than one window. No group is ever
-collected.
+is left in the window; the fold may start anew there. Such gaps are found from the first and
+last alert of each time bucket as wide as the span, which partial aggregation yields, so a
+group with a third of all alerts is seen as one row per span. The pieces between gaps are
+spread over tasks, and each task folds its sorted rows one after another, holding no more than
+one window. No group is ever collected.
 """
 
 from __future__ import annotations
@@ -127,10 +128,12 @@ def fold(rule: CorrelationRule, rows: Iterator[tuple], window: deque | None = No
 
 def correlate(entries: DataFrame, rule: CorrelationRule) -> DataFrame:
     """``(key, ts, events)``: when the rule fires, from ``keyed`` entries."""
-    order = Window.partitionBy("key").orderBy("ts", "id", "rule_id")
-    start = F.coalesce((F.col("ts") - F.lag("ts").over(order) > rule.span_us).cast("int"), F.lit(1))
-    piece = F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    cut = entries.withColumn("start", start).withColumn("piece", piece).drop("start")
+    bucketed = entries.withColumn("bucket", F.call_function("div", F.col("ts"), F.lit(rule.span_us)))
+    spans = bucketed.groupBy("key", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    order = Window.partitionBy("key").orderBy("bucket")
+    start = F.coalesce((F.col("lo") - F.lag("hi").over(order) > rule.span_us).cast("int"), F.lit(1))
+    pieces = spans.withColumn("start", start).withColumn("piece", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("key", "bucket", "piece")
+    cut = bucketed.join(pieces, ["key", "bucket"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, window = None, deque()

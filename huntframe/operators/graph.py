@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 from huntframe.session import Stages
 
 
+def with_previous(rows: DataFrame, keys: list[str], window_us: int) -> DataFrame:
+    """Adds ``prev``: the row before in time within the same keys, if no further away than the window.
+
+    Rows are cut into time buckets as wide as the window; the last row of a bucket, found by
+    partial aggregation, is also handed to the next one. A busy key is thus many small windows
+    and never one task.
+    """
+    names = rows.columns
+    cut = rows.withColumns({"_bucket": F.call_function("div", F.col("ts"), F.lit(window_us)), "_carried": F.lit(False)})
+    last = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(*[c for c in names if c not in keys]), F.struct("ts", "id")).alias("_l"))
+    carried = last.select(*keys, "_l.*", (F.col("_bucket") + 1).alias("_bucket"), F.lit(True).alias("_carried"))
+    order = Window.partitionBy(*keys, "_bucket").orderBy("ts", "id")
+    both = cut.unionByName(carried).withColumn("prev", F.lag(F.struct(*names)).over(order))
+    return both.where(~F.col("_carried")).select(*names, F.when(F.col("ts") - F.col("prev.ts") <= window_us, F.col("prev")).alias("prev"))
+
+
 def entity_keys() -> Column:
     """The entities of an event as ``kind:id``, in the order host, actor, target."""
     key = lambda kind, name: F.when(F.col(name).isNotNull(), F.concat(kind, F.lit(":"), F.col(name)))
@@ -33,9 +49,8 @@ def provenance_edges(events: DataFrame) -> DataFrame:
 
 def entity_links(events: DataFrame, window_us: int) -> DataFrame:
     """``(a, b, entity, gap_us)``: neighbours in time on one entity, no further apart than the window."""
-    order = Window.partitionBy("entity").orderBy("ts", "id")
-    rows = entity_events(events).withColumns({"before": F.lag("id").over(order), "gap_us": F.col("ts") - F.lag("ts").over(order)})
-    return rows.where(F.col("gap_us") <= window_us).select(F.col("before").alias("a"), F.col("id").alias("b"), "entity", "gap_us")
+    rows = with_previous(entity_events(events).select("entity", "id", "ts"), ["entity"], window_us).where(F.col("prev").isNotNull())
+    return rows.select(F.col("prev.id").alias("a"), F.col("id").alias("b"), "entity", (F.col("ts") - F.col("prev.ts")).alias("gap_us"))
 
 
 def co_entity_events(events: DataFrame, chosen: DataFrame, window_us: int | None = None) -> DataFrame:
