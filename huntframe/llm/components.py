@@ -88,7 +88,8 @@ def linked_events(links: DataFrame, lists: DataFrame, known: DataFrame) -> DataF
         F.concat(F.lit("l"), F.coalesce(F.col("link_id").cast("string"), F.concat_ws("|", "event_a", "event_b"))).alias("s"), F.explode(F.array("event_a", "event_b")).alias("id")
     )
     many = lists.select(F.concat(F.lit("c"), F.coalesce(F.col("campaign_id").cast("string"), F.array_join("events", "|"))).alias("s"), F.explode("events").alias("id"))
-    ids = known.select("id").where("id is not null").distinct()
-    sets = pair.unionByName(many).where("id is not null").distinct().join(ids, "id", "left_semi")
+    ids = known.select("id").where("id is not null")
+    sets = pair.unionByName(many).where("id is not null").join(ids, "id", "left_semi")
+    sets = Stages(links.sparkSession, "sets").cut(sets, "sets")
     hubs = sets.groupBy("s").agg(F.min("id").alias("hub"))
     return sets.join(hubs, "s").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))

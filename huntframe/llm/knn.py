@@ -39,6 +39,8 @@ from huntframe.session import Stages
 TRAIN_SAMPLE = 65_536
 #: Queries whose neighbours are found exactly to calibrate the visits.
 CALIBRATION = 1_024
+#: Cells of a batch's matrix of keys (32 MB), and visits beyond which calibration does not widen.
+KEYS, MOST_VISITS = 8_000_000, 1_024
 #: Leaves that every query visits before it is decided how far to widen, and ranges to decide by.
 FIRST_VISITS, RANGES = 2, 12
 #: Members of a leaf block and queries that meet them in one product.
@@ -98,9 +100,15 @@ class Tree:
     def visit(self, x: np.ndarray, count: int | np.ndarray) -> np.ndarray:
         """The first leaves of each query in best-bin-first order, as (queries, greatest count).
 
-        ``count`` may differ by query; places beyond it hold -1.
+        ``count`` may differ by query; places beyond it hold -1. The key matrix of a batch is
+        kept within KEYS cells, so large trees are visited by smaller batches.
         """
         count = np.minimum(np.broadcast_to(count, len(x)), self.leaves)
+        batch = max(1, KEYS // len(self.centers))
+        if len(x) > batch:
+            parts = [self.visit(x[a : a + batch], count[a : a + batch]) for a in range(0, len(x), batch)]
+            wide = max(p.shape[1] for p in parts)
+            return np.concatenate([np.pad(p, ((0, 0), (0, wide - p.shape[1])), constant_values=-1) for p in parts])
         out = np.full((len(x), int(count.max(initial=1))), -1, dtype=np.int32)
         keys = np.full((len(x), len(self.centers)), np.inf, dtype=np.float32)
         keys[:, 0] = 0
@@ -182,8 +190,8 @@ def calibrated(tree: Tree, classes: DataFrame, near: DataFrame, dim: int, most:
     truth = _exact(classes, queries, most + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= most + 1).orderBy("q", "r").toPandas()
     truth = truth[truth.cid.to_numpy() != some.cid.to_numpy()[truth.q]]
     truth = truth[truth.groupby("q").cumcount().to_numpy() < some.k.to_numpy()[truth.q]]
-    order = tree.visit(queries.astype(np.float32), tree.leaves)
-    place = np.empty((len(order), len(tree.centers)), dtype=np.int32)
+    order = tree.visit(queries.astype(np.float32), min(tree.leaves, MOST_VISITS))
+    place = np.full((len(order), len(tree.centers)), MOST_VISITS, dtype=np.int32)
     np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
     depth = place[truth.q.to_numpy(), truth.leaf.to_numpy()]
     ends = np.unique(np.quantile(some.least, np.linspace(0, 1, RANGES + 1)[1:-1]))
@@ -191,7 +199,7 @@ def calibrated(tree: Tree, classes: DataFrame, near: DataFrame, dim: int, most:
     visits = np.full(len(ends) + 1, FIRST_VISITS)
     for r in range(len(visits)):
         d = depth[range_ == r]
-        while len(d) and visits[r] < tree.leaves and (d < visits[r]).mean() < recall:
+        while len(d) and visits[r] < min(tree.leaves, MOST_VISITS) and (d < visits[r]).mean() < recall:
             visits[r] += 1
     return ends, visits
 
