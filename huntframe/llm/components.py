@@ -51,7 +51,7 @@ def contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return pair.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
 
 
-def components(pairs: DataFrame, beta: float = 0.4, rounds: int = 4, max_levels: int = 60) -> DataFrame:
+def components(pairs: DataFrame, beta: float = 0.15, rounds: int = 4, max_levels: int = 60) -> DataFrame:
     """``(id, group_id)`` for pairs ``(a, b)``: every linked id with the smallest id of its group."""
     spark = pairs.sparkSession
     stages = Stages(spark, "components")
