@@ -8,9 +8,12 @@ storage). A folder of our own is made only where that setting is missing, as in
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +49,33 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("huntframe", os.path.relpath(full, root)))
+    path = f"{scratch(spark, 'ship')}/huntframe.zip"
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 class Stages:
     """Written intermediate tables of one operator run, dropped once superseded.
 
