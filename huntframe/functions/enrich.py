@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,7 +76,3 @@ def dga_alerts(events: DataFrame, threshold: float = ENTROPY_THRESHOLD) -> DataF
     """Alerts for names whose rounded score reaches the threshold."""
     hit = with_entropy(events).where(F.col("dga_score") >= threshold)
     return hit.select("id", "ts", F.concat(F.lit("possible generated name: "), F.coalesce("target", F.lit("domain"))).alias("title"), F.lit("T1568.002").alias("technique"), F.lit(3).alias("severity_id"), "dga_score")
-
-
-def parse_indicators(text: str) -> list[str]:
-    return sorted({re.sub(r"#.*", "", x).strip().lower() for x in text.splitlines()} - {""})

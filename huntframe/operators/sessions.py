@@ -74,7 +74,7 @@ class SessionTable:
     def read(self) -> DataFrame:
         return self.table.read()
 
-    def merge(self, local: DataFrame, local_path: str | None = None) -> int:
+    def merge(self, local: DataFrame) -> int:
         """Merges a batch's local sessions; returns the new version.
 
         The parts of a version are ranges of start days. A part is touched if some of its

@@ -62,14 +62,13 @@ def mine_table(rows: DataFrame, message: str = "message", order: str = "ts", thr
     distinct = distinct.repartition("n_tokens", "shard").sortWithinPartitions("n_tokens", "shard", "first", "message")
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, miner, held = None, Miner(threshold), []
+        now, miner = None, Miner(threshold)
         for f in frames:
             out = []
             for msg, n, first, length, shard in f[["message", "n", "first", "n_tokens", "shard"]].itertuples(index=False, name=None):
                 if (length, shard) != now:
                     now, miner = (length, shard), Miner(threshold)
                 out.append((msg, n, first, length, shard, miner.add(msg.split())))
-            held.append(None)
             yield pd.DataFrame(out, columns=["message", "n", "first", "n_tokens", "shard", "local"])
 
     assigned = stages.cut(distinct.mapInPandas(local, "message string, n bigint, first bigint, n_tokens int, shard bigint, local int"), "assigned")
