@@ -34,7 +34,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for texts of ASCII characters only, where classes are plain ranges.
 _ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+""", re.ASCII)
 _ANY = regex.compile(PATTERN)
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 #: Words a worker remembers before it starts afresh; bounds its memory.
 KNOWN_WORDS = 300_000
