@@ -34,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for a table of this run."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Removes the scratch tables of this process; results that still read them must be written first."""
+    n = len(_scratch)
+    while _scratch:
+        remove(spark, _scratch.pop())
+    return n
 
 
 def _fs(spark: SparkSession, path: str):

@@ -36,6 +36,20 @@ def test_versions(spark):
     assert t.version() == 3
 
 
+def test_stages_and_cleanup(spark, monkeypatch):
+    from huntframe import session
+
+    monkeypatch.setattr(session, "_scratch", [])
+    s = session.Stages(spark, "st")
+    a = s.cut(spark.range(3), "a")
+    first = s.paths["a"]
+    b = s.cut(a.where("id > 0"), "a")
+    fs, p = session._fs(spark, first)
+    assert b.count() == 2 and not fs.exists(p)
+    assert session.cleanup(spark) == 1 and session._scratch == []
+    assert not fs.exists(session._fs(spark, s.root)[1])
+
+
 def test_segments(spark):
     s = SegmentStore(spark, scratch(spark, "seg"))
     s.append(events(spark, [100, 200]))
