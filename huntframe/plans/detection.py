@@ -406,7 +406,12 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.session_windows(_stream(spark, d).where("host is not null"), "30 minutes", "2 days", scratch(spark, "windows"))
 
 
-@query()
+@query(
+    SQL_UNIQUE
+    + """, h AS (SELECT tenant, ts // 3600000000 * 3600000000 AS hour_us, ingest_ts AS a FROM ue)
+    SELECT tenant, hour_us, count(*) FILTER (WHERE a < hour_us + 3600000000) AS n_first, count(*) FILTER (WHERE a < hour_us + 25200000000) AS n_final,
+      count(*) FILTER (WHERE a >= hour_us + 25200000000) AS n_refused, count(*) FILTER (WHERE a >= hour_us + 3600000000) AS n_late FROM h GROUP BY tenant, hour_us"""
+)
 def stream_late_counts(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d).select("id", "tenant", F.col("ts").alias("ts_us"), F.col("ingest_ts").alias("arrival"))
     return pipeline.late_windows(s, scratch(spark, "latestream")).counts.read()
