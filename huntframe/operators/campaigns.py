@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from array import array
+from operator import itemgetter
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,35 +87,82 @@ def causal_edges(members: DataFrame, events: DataFrame, window_us: int = 30 * MI
     return edges.select("campaign", "src", "dst", "delta_us", F.round(scores.edge_score(F.col("delta_us"), F.col("anomaly")), 6).alias("score"), "shared", reason.alias("reason"))
 
 
-def beam(anomaly: list[float], out: list[list[tuple[int, float]]], width: int = 4) -> tuple[list[int], float]:
-    """The heaviest forward path that a beam of this width finds; starts are not cut to the width."""
+class Edges:
+    """Outgoing edges ``(target, weight)`` by node, from arrays that are sorted by source."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+        self.at, self.dst, self.weight = np.searchsorted(src, np.arange(n + 1)), dst, weight
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def __getitem__(self, i: int) -> list[tuple[int, float]]:
+        if i >= len(self):
+            raise IndexError(i)
+        cut = slice(self.at[i], self.at[i + 1])
+        return list(zip(self.dst[cut].tolist(), self.weight[cut].tolist()))
+
+
+def _forward(out) -> bool:
+    return all(j > i for i, o in enumerate(out) for j, _ in o)
+
+
+def beam(anomaly: list[float], out, width: int = 4) -> tuple[list[int], float]:
+    """The heaviest forward path that a beam of this width finds; starts are not cut to the width.
+
+    A path is its last state and the states before it, so that a step costs the same however
+    long the path is.
+    """
     if not anomaly:
         return [], 0.0
     bonus = [0.1 * a for a in anomaly]
     top = max(bonus)
     start = max(i for i, b in enumerate(bonus) if b == top)
-    best, paths = ((start,), bonus[start]), [((i,), b) for i, b in enumerate(bonus)]
+    node, before, forward = array("q", range(len(bonus))), array("q", [-1]) * len(bonus), _forward(out)
+
+    def trace(state: int) -> list[int]:
+        path = []
+        while state >= 0:
+            path.append(node[state])
+            state = before[state]
+        return path[::-1]
+
+    best, score, paths = (start, -1), top, list(enumerate(bonus))
     while True:
-        longer = [(p + (j,), s + w + bonus[j]) for p, s in paths for j, w in out[p[-1]] if j not in p]
-        if not longer:
-            return list(best[0]), best[1]
-        for c in longer:
-            if c[1] > best[1]:
-                best = c
-        longer.sort(key=lambda c: -c[1])
-        paths = longer[:width]
-
-
-def greedy(anomaly: list[float], out: list[list[tuple[int, float]]], gamma: float = 0.5) -> tuple[list[int], float]:
-    """From every start, always the edge with the best score plus discounted best next one; the heaviest walk."""
+        longer = ((p, j, s + w + bonus[j]) for p, s in paths for j, w in out[node[p]] if forward or j not in trace(p))
+        kept = heapq.nlargest(width, longer, key=itemgetter(2))
+        if not kept:
+            return trace(best[0]) + [j for j in best[1:] if j >= 0], score
+        if kept[0][2] > score:
+            best, score = kept[0][:2], kept[0][2]
+        paths = [(len(node) + k, s) for k, (_, _, s) in enumerate(kept)]
+        node.extend(j for _, j, _ in kept)
+        before.extend(p for p, _, _ in kept)
+
+
+def greedy(anomaly: list[float], out, gamma: float = 0.5) -> tuple[list[int], float]:
+    """From every start, always the edge with the best score plus discounted best next one; the heaviest walk.
+
+    Where all edges go forward, the next node does not depend on the way: totals are summed once
+    from the end, and only starts whose total comes close to the greatest are walked.
+    """
     best: tuple[list[int], float] = ([], float("-inf"))
     ahead = [max((w for _, w in o), default=0.0) for o in out]
-    for start in range(len(anomaly)):
-        path, total = [start], 0.1 * anomaly[start]
-        while options := [(w + gamma * ahead[j], -k, j, w) for k, (j, w) in enumerate(out[path[-1]]) if j not in path]:
-            _, _, j, w = max(options)
-            path.append(j)
-            total += w + 0.1 * anomaly[j]
+    starts = range(len(anomaly))
+    options = lambda i: ((w + gamma * ahead[j], -k, j, w) for k, (j, w) in enumerate(out[i]))
+    if _forward(out):
+        total = [0.1 * a for a in anomaly]
+        for i in reversed(starts):
+            if o := max(options(i), default=None):
+                total[i] += o[3] + total[o[2]]
+        near = max(total, default=0.0)
+        starts = [i for i in starts if total[i] >= near - 1e-9 * max(1.0, abs(near))]
+    for start in starts:
+        path, total, seen = [start], 0.1 * anomaly[start], {start}
+        while o := max((o for o in options(path[-1]) if o[2] not in seen), default=None):
+            path.append(o[2])
+            seen.add(o[2])
+            total += o[3] + 0.1 * anomaly[o[2]]
         if total > best[1]:
             best = (path, total)
     return best if best[0] else ([], 0.0)
@@ -122,26 +174,25 @@ SELECTORS = {"beam": beam, "greedy": greedy}
 def chains(members: DataFrame, events: DataFrame, edges: DataFrame, selector: str = "beam") -> DataFrame:
     """``(campaign, step, id, path_score)``: the chosen path of each campaign's causal graph.
 
-    Nodes and edges of a campaign are linear in its events and carry numbers only, so a group
-    is small; the search itself is sequential by nature.
+    Nodes and edges of a campaign are linear in its events, and so are the searches; they are
+    sequential by nature, so one campaign is one task.
     """
     choose = SELECTORS[selector]
     nodes = events.join(members, "id").select("campaign", "id", "ts", scores.anomaly(F.col("severity_id"), F.col("message")).alias("anomaly"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("double").alias("score"))
     both = nodes.unionByName(edges.select("campaign", F.col("dst").alias("id"), F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("anomaly"), "src", "score"))
 
-    def path(g: pd.DataFrame) -> pd.DataFrame:
-        n = g[g.src.isna()].sort_values(["ts", "id"])
-        at = {x: i for i, x in enumerate(n.id)}
-        out: list[list[tuple[int, float]]] = [[] for _ in at]
-        e = g[g.src.notna()]
-        for a, b, w in zip(e.src, e.id, e.score):
-            out[at[a]].append((at[b], w))
-        for o in out:
-            o.sort()
-        best, score = choose(n.anomaly.tolist(), out)
-        return pd.DataFrame({"campaign": g.campaign.iloc[0], "step": range(len(best)), "id": n.id.to_numpy()[best], "path_score": round(score, 6)})
-
-    return both.groupBy("campaign").applyInPandas(path, "campaign string, step int, id string, path_score double")
+    def path(g: pa.Table) -> pa.Table:
+        campaign = g["campaign"][0].as_py()
+        n = g.filter(pc.is_null(g["src"])).select(["id", "ts", "anomaly"]).sort_by([("ts", "ascending"), ("id", "ascending")])
+        e = g.filter(pc.is_valid(g["src"])).select(["src", "id", "score"])
+        ids = n["id"].combine_chunks()
+        src, dst, w = pc.index_in(e["src"], ids).to_numpy(), pc.index_in(e["id"], ids).to_numpy(), e["score"].to_numpy()
+        order = np.lexsort((w, dst, src))
+        best, score = choose(n["anomaly"].to_pylist(), Edges(len(ids), src[order], dst[order], w[order]))
+        steps = len(best)
+        return pa.table({"campaign": pa.array([campaign] * steps, pa.string()), "step": pa.array(range(steps), pa.int32()), "id": ids.take(pa.array(best, pa.int64())), "path_score": pa.array([round(score, 6)] * steps, pa.float64())})
+
+    return both.groupBy("campaign").applyInArrow(path, "campaign string, step int, id string, path_score double")
 
 
 def incidents(chain: DataFrame, events: DataFrame, edges: DataFrame, techniques: DataFrame) -> DataFrame:

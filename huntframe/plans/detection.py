@@ -270,9 +270,7 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
 
 def _campaigns(spark: SparkSession, d: str):
     e = unique_events(spark, d)
-    # Hosts and processes that everything touches join all; campaigns follow people and addresses.
-    slim = e.where("severity_id >= 3").withColumn("host", F.when(F.col("host") != "gw-core-01", F.col("host")))
-    return slim, *cp.campaigns(slim, 30 * cp.MINUTE)
+    return e, *cp.campaigns(e, 30 * cp.MINUTE)
 
 
 @query()

@@ -137,3 +137,29 @@ def test_measures(spark):
     assert evals.edit_distance(list("abcd"), list("acbd")) == 2 and evals.chain_similarity([], []) == 1.0
     assert evals.mean_interval([1.0]) == (1.0, 0.0) and abs(evals.mean_interval([1.0, 2.0, 3.0])[1] - 4.303 / 3**0.5) < 1e-3
     assert list(itertools.islice(evals.T95, 2)) == [12.706, 4.303]
+
+
+def test_campaigns_cover_all_events_and_hosts(spark):
+    import __spark_entry__
+    from conftest import SMALL
+    from huntframe.schema import unique_events
+
+    e = unique_events(spark, SMALL).cache()
+    by = {}
+    for r in e.select("id", "ts", "ocsf_class", F.explode(F.array_distinct(graph.entity_keys())).alias("k")).collect():
+        by.setdefault(r.k, []).append((r.ts, r.id))
+    assert len(by["host:gw-core-01"]) > 1
+    pairs = [(a[1], b[1]) for rows in by.values() for a, b in itertools.pairwise(sorted(rows)) if b[0] - a[0] <= 30 * M]
+    kind, groups = {r.id: r.ocsf_class for r in e.collect()}, {}
+    for i, c in union_find(pairs):
+        groups.setdefault(c, set()).add(i)
+    want = {(c, len(g)) for c, g in groups.items() if len({kind[i] for i in g}) > 1}
+    got = __spark_entry__.queries()["campaigns"](spark, SMALL)
+    assert {(r.campaign, r.n_events) for r in got.collect()} == want
+    assert {(r.campaign) for r in __spark_entry__.queries()["incidents"](spark, SMALL).collect()} == {c for c, _ in want}
+
+
+def test_paths_of_a_large_campaign_are_linear():
+    n = 100_000
+    out = [[(j, 0.5) for j in (i + 1, i + 2) if j < n] for i in range(n)]
+    assert cp.beam([0.2] * n, out)[0] == list(range(n)) and cp.greedy([0.2] * n, out)[0] == list(range(n))
