@@ -25,24 +25,44 @@ def embedded(events: DataFrame) -> DataFrame:
     return events.withColumn("vec", scores.hash_embed(text))
 
 
-def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, bands: int = 6, bits: int = 12, seed: int = 11) -> DataFrame:
-    """``(a, b)``: events of similar text close in time, by signs of random projections.
+def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, block: int = 2048) -> DataFrame:
+    """``(a, b)``: all pairs of events whose texts reach the cosine and whose times lie within the window.
 
-    Events that agree on a band of signs within a time bucket are neighbours if they follow
-    each other there, and are kept if their cosine reaches the threshold. Linear in the events.
+    Exact: events are cut into time buckets as wide as the window and, by hash, into blocks of
+    some thousand; every two blocks of one bucket are multiplied once. The work grows
+    with the pairs within the window, the result with those of them that are similar.
     """
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(bands, bits, 128)).round(3)
-
-    def band(b: int):
-        signs = [F.when(scores.dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in planes[b, i]])) >= 0, 1 << i).otherwise(0) for i in range(bits)]
-        return F.struct(F.lit(b).alias("band"), sum(signs).alias("sig"))
-
-    rows = vectors.select("id", "ts", "vec", F.explode(F.array(*[band(b) for b in range(bands)])).alias("s")).select("id", "ts", "vec", "s.*")
-    order = Window.partitionBy("band", "sig", F.call_function("div", "ts", F.lit(window_us))).orderBy("ts", "id")
-    near = rows.withColumns({"before": F.lag("id").over(order), "other": F.lag("vec").over(order), "gap": F.col("ts") - F.lag("ts").over(order)})
-    close = near.where((F.col("gap") <= window_us) & (scores.dot(F.col("vec"), F.col("other")) >= threshold))
-    return close.select(F.col("before").alias("a"), F.col("id").alias("b")).distinct()
+    stages = Stages(vectors.sparkSession, "semantic")
+    rows = vectors.select("id", "ts", F.col("vec").cast("array<double>").alias("vec"), F.call_function("div", "ts", F.lit(window_us)).alias("bucket")).where("vec is not null")
+    rows = stages.cut(rows, "rows")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    mine = rows.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    # A pair of blocks has its own group; a row goes to the groups of its block with each block of its bucket.
+    pairs = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    both = pairs.select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.col("part"), "id", "ts", "vec")
+
+    def products(g: pa.Table) -> pa.Table:
+        i, j = g["i"][0].as_py(), g["j"][0].as_py()
+        part = g["part"].to_numpy()
+        vec = g["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+        ids, ts = g["id"].combine_chunks(), g["ts"].to_numpy()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found = []
+        for at in range(0, len(left), 512):
+            x = left[at : at + 512]
+            near = (vec[x] @ vec[right].T >= threshold - 1e-9) & (np.abs(ts[x][:, None] - ts[right][None, :]) <= window_us)
+            p, q = np.nonzero(near)
+            p, q = x[p], right[q]
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            found.append(np.stack([p, q]))
+        p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+        back = ts[p] > ts[q]
+        a, b = ids.take(pa.array(np.where(back, q, p))), ids.take(pa.array(np.where(back, p, q)))
+        same = pc.and_(pc.equal(pa.array(ts[p]), pa.array(ts[q])), pc.greater(a, b))
+        return pa.table({"a": pc.if_else(same, b, a), "b": pc.if_else(same, a, b)})
+
+    return both.groupBy("bucket", "i", "j").applyInArrow(products, "a string, b string")
 
 
 def campaigns(events: DataFrame, window_us: int = 30 * MINUTE, cross_domain: bool = True, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

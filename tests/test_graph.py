@@ -163,3 +163,21 @@ def test_paths_of_a_large_campaign_are_linear():
     n = 100_000
     out = [[(j, 0.5) for j in (i + 1, i + 2) if j < n] for i in range(n)]
     assert cp.beam([0.2] * n, out)[0] == list(range(n)) and cp.greedy([0.2] * n, out)[0] == list(range(n))
+
+
+def similar_pairs(rows, window, threshold):
+    return {(a[0], b[0]) for a, b in itertools.combinations(sorted(rows, key=lambda r: (r[1], r[0])), 2) if b[1] - a[1] <= window and np.dot(a[2], b[2]) >= threshold - 1e-9}
+
+
+def random_vectors(times, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(len(times), 128)) + 1.2 * rng.normal(size=(3, 128))[rng.integers(0, 3, len(times))]
+    return [(f"e{i:03d}", t, [float(c) for c in v / np.linalg.norm(v)]) for i, (t, v) in enumerate(zip(times, x))]
+
+
+def test_similar_links_equal_brute_force(spark):
+    rows = random_vectors([i * 1000 for i in range(150)])
+    got = cp.semantic_links(spark.createDataFrame(rows, "id string, ts bigint, vec array<double>"), M, 0.5, block=40)
+    want = similar_pairs(rows, M, 0.5)
+    found = [(r.a, r.b) for r in got.collect()]
+    assert len(want) > 1000 and set(found) == want and len(found) == len(want)
