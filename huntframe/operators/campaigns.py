@@ -39,21 +39,28 @@ def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, b
     mine = rows.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     # A pair of blocks has its own group; a row goes to the groups of its block with each block of its bucket.
     pairs = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    both = pairs.select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.col("part"), "id", "ts", "vec")
+    both = pairs.select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", F.lit(0).alias("side"), "id", "ts", "vec")
+
+    def over(side: int):  # the blocks of a bucket (1) with those of the one before (-1), under the number of the later
+        other = mine.drop("n").join(sizes.withColumn("bucket", F.col("bucket") + side), "bucket").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        i, j = ("o", "part") if side == 1 else ("part", "o")
+        return other.select((F.col("bucket") + F.lit(int(side == -1))).alias("bucket"), F.col(i).alias("i"), F.col(j).alias("j"), "part", F.lit(side).alias("side"), "id", "ts", "vec")
+
+    both = both.withColumn("border", F.lit(False)).unionByName(over(1).unionByName(over(-1)).withColumn("border", F.lit(True)))
 
     def products(g: pa.Table) -> pa.Table:
         i, j = g["i"][0].as_py(), g["j"][0].as_py()
-        part = g["part"].to_numpy()
+        part, side, border = g["part"].to_numpy(), g["side"].to_numpy(), g["border"][0].as_py()
         vec = g["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
         ids, ts = g["id"].combine_chunks(), g["ts"].to_numpy()
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        left, right = (np.flatnonzero(side == k) for k in (-1, 1)) if border else (np.flatnonzero(part == k) for k in (i, j))
         found = []
         for at in range(0, len(left), 512):
             x = left[at : at + 512]
             near = (vec[x] @ vec[right].T >= threshold - 1e-9) & (np.abs(ts[x][:, None] - ts[right][None, :]) <= window_us)
             p, q = np.nonzero(near)
             p, q = x[p], right[q]
-            if i == j:
+            if i == j and not border:
                 p, q = p[p < q], q[p < q]
             found.append(np.stack([p, q]))
         p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
@@ -62,7 +69,7 @@ def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, b
         same = pc.and_(pc.equal(pa.array(ts[p]), pa.array(ts[q])), pc.greater(a, b))
         return pa.table({"a": pc.if_else(same, b, a), "b": pc.if_else(same, a, b)})
 
-    return both.groupBy("bucket", "i", "j").applyInArrow(products, "a string, b string")
+    return both.groupBy("border", "bucket", "i", "j").applyInArrow(products, "a string, b string")
 
 
 def campaigns(events: DataFrame, window_us: int = 30 * MINUTE, cross_domain: bool = True, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

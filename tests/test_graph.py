@@ -181,3 +181,13 @@ def test_similar_links_equal_brute_force(spark):
     want = similar_pairs(rows, M, 0.5)
     found = [(r.a, r.b) for r in got.collect()]
     assert len(want) > 1000 and set(found) == want and len(found) == len(want)
+
+
+def test_similar_links_cross_bucket_borders(spark):
+    rng = random.Random(3)
+    rows = random_vectors([rng.randrange(6 * M) for _ in range(150)], 6)
+    got = cp.semantic_links(spark.createDataFrame(rows, "id string, ts bigint, vec array<double>"), M, 0.5, block=10)
+    want = similar_pairs(rows, M, 0.5)
+    time = {i: t // M for i, t, _ in rows}
+    found = [(r.a, r.b) for r in got.collect()]
+    assert any(time[a] != time[b] for a, b in want) and set(found) == want and len(found) == len(want)
