@@ -25,8 +25,8 @@ def embedded(events: DataFrame) -> DataFrame:
     return events.withColumn("vec", scores.hash_embed(text))
 
 
-def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, block: int = 2048) -> DataFrame:
-    """``(a, b)``: all pairs of events whose texts reach the cosine and whose times lie within the window.
+def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, block: int = 2048, with_sim: bool = False) -> DataFrame:
+    """``(a, b)``, on request with the cosine ``sim``: all pairs of events whose texts reach the cosine and whose times lie within the window.
 
     Exact: events are cut into time buckets as wide as the window and, by hash, into blocks of
     some thousand; every two blocks of one bucket are multiplied once. The work grows
@@ -57,19 +57,19 @@ def semantic_links(vectors: DataFrame, window_us: int, threshold: float = 0.5, b
         found = []
         for at in range(0, len(left), 512):
             x = left[at : at + 512]
-            near = (vec[x] @ vec[right].T >= threshold - 1e-9) & (np.abs(ts[x][:, None] - ts[right][None, :]) <= window_us)
-            p, q = np.nonzero(near)
-            p, q = x[p], right[q]
+            cosine = vec[x] @ vec[right].T
+            near = (cosine >= threshold - 1e-9) & (np.abs(ts[x][:, None] - ts[right][None, :]) <= window_us)
             if i == j and not border:
-                p, q = p[p < q], q[p < q]
-            found.append(np.stack([p, q]))
-        p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+                near &= x[:, None] < right[None, :]
+            p, q = np.nonzero(near)
+            found.append((x[p], right[q], cosine[p, q] if with_sim else p[:0]))
+        p, q, sim = (np.concatenate(f) for f in zip(*found)) if found else np.zeros((3, 0), int)
         back = ts[p] > ts[q]
         a, b = ids.take(pa.array(np.where(back, q, p))), ids.take(pa.array(np.where(back, p, q)))
         same = pc.and_(pc.equal(pa.array(ts[p]), pa.array(ts[q])), pc.greater(a, b))
-        return pa.table({"a": pc.if_else(same, b, a), "b": pc.if_else(same, a, b)})
+        return pa.table({"a": pc.if_else(same, b, a), "b": pc.if_else(same, a, b)} | ({"sim": pa.array(sim, pa.float64())} if with_sim else {}))
 
-    return both.groupBy("border", "bucket", "i", "j").applyInArrow(products, "a string, b string")
+    return both.groupBy("border", "bucket", "i", "j").applyInArrow(products, "a string, b string" + ", sim double" * with_sim)
 
 
 def campaigns(events: DataFrame, window_us: int = 30 * MINUTE, cross_domain: bool = True, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -77,19 +77,20 @@ def campaigns(events: DataFrame, window_us: int = 30 * MINUTE, cross_domain: boo
 
     Candidates: ``(campaign, n_events, n_classes, n_links, score)``; members: ``(campaign, id)``.
     A campaign is named by its smallest event id; its links are those between neighbours on an
-    entity and the given similar pairs.
+    entity and the given similar pairs; where these bring their ``sim``, it is not computed again.
     """
     stages = Stages(events.sparkSession, "campaigns")
-    links = entity_links(events, window_us).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = entity_links(events, window_us).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(None).cast("double").alias("sim"))
     if similar is not None:
-        links = links.unionByName(similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    links = stages.cut(links.distinct(), "links")
-    members = stages.cut(components(links).withColumnRenamed("component", "campaign"), "members")
+        links = links.unionByName(similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("sim") if "sim" in similar.columns else F.lit(None).cast("double")).alias("sim")))
+    links = stages.cut(links.groupBy("a", "b").agg(F.max("sim").alias("sim")), "links")
+    members = stages.cut(components(links.select("a", "b")).withColumnRenamed("component", "campaign"), "members")
     facts = embedded(events).select("id", "ocsf_class", "ts", "vec")
     stats = members.join(facts.select("id", "ocsf_class"), "id").groupBy("campaign").agg(F.count("*").alias("n_events"), F.size(F.collect_set("ocsf_class")).alias("n_classes"))
     a = facts.select(F.col("id").alias("a"), F.col("vec").alias("va"))
     b = facts.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    sims = links.join(a, "a").join(b, "b").select("a", scores.dot(F.col("va"), F.col("vb")).alias("sim"))
+    sims = links.where("sim IS NULL").select("a", "b").join(a, "a").join(b, "b").select("a", scores.dot(F.col("va"), F.col("vb")).alias("sim"))
+    sims = sims.unionByName(links.where("sim IS NOT NULL").select("a", "sim"))
     strength = sims.join(members.select(F.col("id").alias("a"), "campaign"), "a").groupBy("campaign").agg(F.count("*").alias("n_links"), F.avg("sim").alias("sim"))
     score = F.col("n_classes") + (F.col("n_events") - 1) * 0.5 + F.greatest("sim", F.lit(0.0))
     rated = stats.join(strength, "campaign").withColumn("score", F.round(score, 6))

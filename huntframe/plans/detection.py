@@ -270,7 +270,8 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
 
 def _campaigns(spark: SparkSession, d: str):
     e = unique_events(spark, d)
-    return e, *cp.campaigns(e, 30 * cp.MINUTE)
+    similar = cp.semantic_links(cp.embedded(e), 30 * cp.MINUTE, with_sim=True)
+    return e, *cp.campaigns(e, 30 * cp.MINUTE, similar=similar)
 
 
 @query()
@@ -303,7 +304,7 @@ def incidents_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def semantic_links(spark: SparkSession, d: str) -> DataFrame:
-    return cp.semantic_links(cp.embedded(unique_events(spark, d).where("severity_id >= 4")), 6 * 60 * cp.MINUTE)
+    return cp.semantic_links(cp.embedded(unique_events(spark, d)), 6 * 60 * cp.MINUTE)
 
 
 @query(

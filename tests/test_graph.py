@@ -150,13 +150,19 @@ def test_campaigns_cover_all_events_and_hosts(spark):
         by.setdefault(r.k, []).append((r.ts, r.id))
     assert len(by["host:gw-core-01"]) > 1
     pairs = [(a[1], b[1]) for rows in by.values() for a, b in itertools.pairwise(sorted(rows)) if b[0] - a[0] <= 30 * M]
+    texts = cp.embedded(e).select("id", "ts", "vec", "severity_id").collect()
+    similar = similar_pairs([(r.id, r.ts, r.vec) for r in texts], 30 * M, 0.5)
+    low = {r.id for r in texts if r.severity_id < 4}
+    assert similar and any(a in low and b in low for a, b in similar)
+    pairs += similar
     kind, groups = {r.id: r.ocsf_class for r in e.collect()}, {}
     for i, c in union_find(pairs):
         groups.setdefault(c, set()).add(i)
     want = {(c, len(g)) for c, g in groups.items() if len({kind[i] for i in g}) > 1}
     got = __spark_entry__.queries()["campaigns"](spark, SMALL)
     assert {(r.campaign, r.n_events) for r in got.collect()} == want
-    assert {(r.campaign) for r in __spark_entry__.queries()["incidents"](spark, SMALL).collect()} == {c for c, _ in want}
+    linked = {(r.a, r.b) for r in __spark_entry__.queries()["semantic_links"](spark, SMALL).collect()}
+    assert linked == similar_pairs([(r.id, r.ts, r.vec) for r in texts], 360 * M, 0.5)
 
 
 def test_paths_of_a_large_campaign_are_linear():
