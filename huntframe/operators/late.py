@@ -5,8 +5,8 @@ aggregate, later ones are refused and kept aside. ``LateWindows`` holds two keye
 earliest arrival of each event id, and the aggregates per ``(key, period)``. A batch (of a
 stream or of history) yields a delta: plus one at the arrivals it brings, minus one at
 arrivals that it proves not to be the earliest. The delta is upserted and the rows it changes
-are emitted, so any order of batches ends in the same aggregates. The watermark (the greatest
-arrival seen minus the lateness and the longest redelivery) bounds the id table.
+are emitted, so any order of batches ends in the same aggregates. No watermark is
+kept: the id table grows with the ids seen, unless the caller drops old ones with ``forget``.
 
 Defined cases: rows without id, event time or arrival do not count; an id counts once, at its
 earliest arrival (ties: the smaller event time, then the smaller key); a null key is a key of
