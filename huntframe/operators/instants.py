@@ -158,12 +158,21 @@ class InstantDictionary:
         )
 
     def extend(self, rows: DataFrame) -> int:
-        """Parses the values of keyed rows that the dictionary lacks and commits them."""
-        new = rows.where(F.col("k_ts_text").isNotNull()).select(*[F.col(f"k_{k}").alias(k) for k in KEYS]).distinct()
-        if self.table.version():
-            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in KEYS]
-            new = new.alias("n").join(self.table.read().alias("o"), same, "left_anti")
-        return self.table.append(parse(new))
+        """Parses the values of keyed rows that the dictionary lacks and commits them; returns the version.
+
+        Known values are never parsed again. Of two writers that add the same values at once, the
+        second finds the first one's and adds the rest.
+        """
+        words = rows.where(F.col("k_ts_text").isNotNull()).select(*[F.col(f"k_{k}").alias(k) for k in KEYS]).distinct()
+
+        def change(base: int):
+            new = words
+            if base:
+                same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in KEYS]
+                new = new.alias("n").join(self.table.read(version=base).alias("o"), same, "left_anti")
+            return self.table.stage(parse(new)), []
+
+        return self.table.transact(change)
 
     def lookup(self, rows: DataFrame, arrival: str = "recv_us") -> DataFrame:
         """Keyed rows with ``ts_us``; rows whose text has no instant keep null."""

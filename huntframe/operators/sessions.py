@@ -6,8 +6,8 @@ map-side combine: an owner with a third of all rows reaches a task as at most on
 Windows over these rows give the batch's local sessions.
 
 A merge compares the local sessions with the stored ones that lie within the gap, joins the
-components that the batch bridges, and commits a new version in which the touched day
-partitions are replaced and all others are kept as they are.
+components that the batch bridges, and commits a new version in which the touched days are
+replaced and all others are kept as they are. Batches may come in any order of time.
 
 Defined cases: rows without time or owner do not count; repeated keys count once (the earliest
 time holds if copies differ); a null key is its own row; ties in time are one moment; an empty
@@ -66,7 +66,7 @@ def local_sessions(events: DataFrame, ts: str, gap_us: int) -> DataFrame:
 
 
 class SessionTable:
-    """Stored sessions, partitioned by the day on which they start."""
+    """Stored sessions, one part per day on which they start; a part states the span of time that it covers."""
 
     def __init__(self, spark: SparkSession, path: str, gap_us: int):
         self.table, self.gap_us = VersionedTable(spark, path, SESSION), gap_us
@@ -74,48 +74,49 @@ class SessionTable:
     def read(self) -> DataFrame:
         return self.table.read()
 
-    def merge(self, local: DataFrame) -> int:
-        """Merges a batch's local sessions; returns the new version.
+    def merge(self, local: DataFrame, number: int | None = None) -> int:
+        """Merges a batch's local sessions, a numbered batch once; returns the new version.
 
-        The parts of a version are ranges of start days. A part is touched if some of its
-        sessions may lie within the gap of the batch; within touched parts, sessions that no
-        local session reaches are copied, the others join their component.
+        A part is touched if its span lies within the gap of some day's span of the batch; within
+        touched parts, sessions that no local session reaches are copied, the others join their
+        component. The merged rows are written in one pass, a part per day.
         """
-        path = self.table.stage(local)
-        local = self.table.spark.read.schema(SESSION).parquet(path)
-        days = F.call_function("div", F.col("start_us"), F.lit(DAY))
-        span = local.agg(F.min("start_us"), F.max("end_us")).first()
-        if span[0] is None:
-            return self.table.version()
-        touched = [x for x in self.table.parts() if x["max_end"] >= span[0] - self.gap_us and x["min_start"] <= span[1] + self.gap_us]
-        if touched:
-            names = {x["path"] for x in touched}
-            merged = joined(self.table.read(lambda x: x["path"] in names).unionByName(local), self.gap_us)
-            path = self.table.stage(merged)
-            merged = self.table.spark.read.schema(SESSION).parquet(path)
-        else:
-            merged = local
-        # One part per month of starts keeps the log short; its statistics prune later merges.
-        stats = merged.groupBy(F.call_function("div", days, F.lit(30)).alias("m")).agg(F.min("start_us"), F.max("end_us")).collect()
-        if len(stats) == 1:
-            add = [{"path": path, "min_start": stats[0][1], "max_end": stats[0][2]}]
-        else:
-            month = F.call_function("div", days, F.lit(30))
-            add = [{"path": self.table.stage(merged.where(month == m)), "min_start": lo, "max_end": hi} for m, lo, hi in stats]
-        return self.table.commit(add, [x["path"] for x in touched])
+        stages = Stages(self.table.spark, "sessions")
+        day = F.floor(F.col("start_us") / F.lit(DAY)).cast("bigint")
+        local = stages.cut(local, "local")
+        spans = local.groupBy(day.alias("d")).agg(F.min("start_us"), F.max("end_us")).collect()  # one row per day of the batch
+
+        def near(part: dict) -> bool:
+            return any(part["start"] <= hi + self.gap_us and part["end"] >= lo - self.gap_us for _, lo, hi in spans)
+
+        def change(base: int):
+            if not spans:
+                return ([], []) if number is not None else None
+            touched = {p["path"] for p in self.table.parts(base) if near(p)}
+            merged = local if not touched else joined(self.table.read(lambda p: p["path"] in touched, base).unionByName(local), self.gap_us)
+            parts = self.table.stage(merged.withColumn("day", day), by="day")
+            written = self.table.spark.read.schema(SESSION).parquet(*[p["path"] for p in parts])
+            stats = {str(d): (lo, hi) for d, lo, hi in written.groupBy(day.alias("d")).agg(F.min("start_us"), F.max("end_us")).collect()}
+            return [{**p, "start": stats[p["part"]][0], "end": stats[p["part"]][1]} for p in parts], list(touched)
+
+        version = self.table.transact(change, ("batch", number) if number is not None else None)
+        self.table.vacuum()
+        stages.drop("local")
+        return version
 
 
 def sessions(events: DataFrame, path: str, *, key: str, ts: str, user: Column, device: Column, gap_us: int, batches: int = 3) -> DataFrame:
     """Sessions of a whole table through the incremental one.
 
-    The rows are merged as batches that interleave in time, cut by a hash of the key, so every
-    merge after the first has components to bridge and the result is that of one pass.
+    The batches are spans of time, as they would be delivered: a merge bridges the sessions that
+    cross the border to what is stored, and days that lie behind are left as they are.
     """
     spark = events.sparkSession
     store = SessionTable(spark, path, gap_us)
     rows = once(owners(events.select(F.col(key).alias("k"), F.col(ts).alias("t"), user.alias("u"), device.alias("d")), F.col("u"), F.col("d")).select("k", "t", *OWNER), "k", "t")
-    rows = Stages(spark, "activity").cut(rows, "rows")
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.concat_ws("|", "t", *OWNER))), F.lit(batches))
-    for n in range(batches):
-        store.merge(local_sessions(rows.where(part == n), "t", gap_us))
+    rows = Stages(spark, "activity").cut(rows.where(F.col("t").isNotNull() & F.col("owner_name").isNotNull()), "rows")
+    lo, hi = rows.agg(F.min("t"), F.max("t")).first()
+    for n in range(batches if lo is not None else 0):
+        step = (hi - lo) // batches + 1
+        store.merge(local_sessions(rows.where((F.col("t") >= lo + n * step) & (F.col("t") < lo + (n + 1) * step)), "t", gap_us), n)
     return store.read().select(*OWNER, "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_events")

@@ -28,17 +28,23 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "line_no", F.to_json("fields").alias("fields_json"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def p3_found(spark: SparkSession, d: str, batches: int = 2) -> DataFrame:
+    """Codec texts and the segment times whose unit is wrong, all through one dictionary that batches of arrival extend."""
     sources = table(spark, d, "input_sources").select("input_name", "zone_name", "date_order").dropDuplicates(["input_name"])
-    records = table(spark, d, "codec_records").select("record_id", "input_name", "ts_text", "recv_us").where("ts_text is not null")
+    records = table(spark, d, "codec_records").select("record_id", "input_name", "ts_text", "recv_us").where("ts_text is not null").join(sources, "input_name", "left")
+    codec = records.select(F.lit("codec").alias("origin"), F.col("record_id").cast("string").alias("rec_id"), "ts_text", "recv_us", "zone_name", "date_order")
+    # An event's time is a text of its digits; what is in microseconds already is no question and stays out.
+    wrong = table(spark, d, "segment_events").select("id", "ts", "ingest_ts").where(F.col("id").isNotNull() & (F.col("ts") != instants.unit_to_us(F.col("ts"))))
+    none = F.lit(None).cast("string")
+    segment = wrong.select(F.lit("segment").alias("origin"), F.col("id").alias("rec_id"), F.col("ts").cast("string").alias("ts_text"), F.col("ingest_ts").alias("recv_us"), none.alias("zone_name"), none.alias("date_order"))
     words = instants.InstantDictionary(spark, scratch(spark, "instants"))
-    rows = words.keyed(records.join(sources, "input_name", "left"))
-    words.extend(rows)
-    codec = words.lookup(rows).where("ts_us is not null").groupBy("record_id").agg(F.min("ts_us").alias("ts_us"))
-    segment = table(spark, d, "segment_events").select("id", "ts", instants.unit_to_us(F.col("ts")).alias("ts_us")).where("ts != ts_us and id is not null")
-    return codec.select(F.lit("codec").alias("origin"), F.col("record_id").cast("string").alias("rec_id"), "ts_us").unionByName(
-        segment.groupBy("id").agg(F.min("ts_us").alias("ts_us")).select(F.lit("segment").alias("origin"), F.col("id").alias("rec_id"), "ts_us")
-    )
+    rows = Stages(spark, "times").cut(words.keyed(codec.unionByName(segment)), "rows")
+    lo, hi = rows.agg(F.min("recv_us"), F.max("recv_us")).first()
+    step = ((hi or 0) - (lo or 0)) // batches + 1
+    which = F.coalesce(F.call_function("div", F.col("recv_us") - F.lit(lo or 0), F.lit(step)), F.lit(0))
+    for n in range(batches):
+        words.extend(rows.where(which == n))
+    return words.lookup(rows).where("ts_us is not null").groupBy("origin", "rec_id").agg(F.min("ts_us").alias("ts_us"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +56,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "segment_events").select("id", "tenant", instants.unit_to_us(F.col("ts")).alias("ts_us"), F.col("ingest_ts").alias("arrival"))
-    counts = late.late_counts(events, scratch(spark, "late"))
+    counts = late.late_counts(events, scratch(spark, "late"))  # ids are forgotten a week behind the newest arrival
     return counts.where("n_late > 0").select("tenant", "hour_us", "n_first", "n_final", "n_refused")
 
 

@@ -400,9 +400,13 @@ def stream_rule_alerts(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.alerts(_stream(spark, d), RULES, scratch(spark, "found")).select("rule_id", F.col("events")[0].alias("id"), "ts")
 
 
-@query()
+@query(
+    SQL_EVENTS
+    + """, g AS (SELECT host, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY host ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS new FROM ev WHERE host IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+    SELECT host, min(ts) AS start_us, max(ts) AS end_us, count(*) AS n FROM s GROUP BY host, nth"""
+)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.session_windows(_stream(spark, d).where("host is not null"), "30 minutes", "2 days", scratch(spark, "windows"))
+    return pipeline.session_windows(_stream(spark, d).where("host is not null"), 30 * cp.MINUTE, scratch(spark, "windows"))
 
 
 @query(
@@ -413,4 +417,4 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_late_counts(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d).select("id", "tenant", F.col("ts").alias("ts_us"), F.col("ingest_ts").alias("arrival"))
-    return pipeline.late_windows(s, scratch(spark, "latestream")).counts.read()
+    return pipeline.late_windows(s, scratch(spark, "latestream")).counts()

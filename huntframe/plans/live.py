@@ -38,18 +38,21 @@ def replay(spark: SparkSession, path: str, codec: str, base: list[rules.Rule], t
     return events, rules.match(events, base)
 
 
-def ingest_batch(frames: DataFrame, segments: SegmentStore, alerts: AlertStore, base: list[rules.Rule], process: Callable[[DataFrame], DataFrame] = lambda e: e) -> None:
-    """Frames ``(id, raw, codec, recv_us)`` of one micro-batch, stored and matched; a repeated batch changes no alert."""
+def ingest_batch(
+    frames: DataFrame, segments: SegmentStore, alerts: AlertStore, base: list[rules.Rule], process: Callable[[DataFrame], DataFrame] = lambda e: e, number: int | None = None
+) -> None:
+    """Frames ``(id, raw, codec, recv_us)`` of one micro-batch, stored and matched; a repeated number changes neither store."""
     records = codecs.decode(frames)
     events = process(to_events(records, F.concat_ws("-", "id", "item"), F.col("recv_us"), F.col("recv_us"), F.lit("default")))
-    segments.append(events)
-    alerts.upsert(rules.match(events, base))
+    batch = None if number is None else ("ingest", number)
+    segments.append(events, batch=batch)
+    alerts.upsert(rules.match(events, base), batch=batch)
 
 
 def ingest_stream(frames: DataFrame, segments: SegmentStore, alerts: AlertStore, base: list[rules.Rule], checkpoint: str, process: Callable[[DataFrame], DataFrame] = lambda e: e, available_now: bool = False):
     """Starts the stream; files roll by rows, batches by time."""
     frames.sparkSession.conf.set("spark.sql.files.maxRecordsPerFile", ROLL_ROWS)
-    w = frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: ingest_batch(b, segments, alerts, base, process))
+    w = frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, n: ingest_batch(b, segments, alerts, base, process, n))
     return w.trigger(availableNow=True).start() if available_now else w.trigger(processingTime=ROLL_INTERVAL).start()
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from huntframe.sources.versioned import VersionedTable
 from huntframe.types import schema
 
+#: Alerts that the ring of recent ones holds.
+RING = 10_000
 STORED = schema("fingerprint string, rule_id string, title string, severity_id int, technique string, events array<string>, ts bigint, status string, assignee string, note string, updated_ts bigint")
 SAVED = schema("kind string, id string, name string, owner string, updated_ts bigint, body string")
 
@@ -22,18 +24,25 @@ class AlertStore:
     def __init__(self, spark: SparkSession, path: str):
         self.table = VersionedTable(spark, path, STORED)
 
-    def upsert(self, alerts: DataFrame, now: int = 0) -> int:
-        """Adds alerts that are not stored yet; triage of stored ones is kept."""
+    def upsert(self, alerts: DataFrame, now: int = 0, batch: tuple[str, int] | None = None) -> int:
+        """Adds alerts that are not stored yet; triage of stored ones is kept.
+
+        The stored fingerprints are those of the version the commit builds on, so two writers
+        with the same alert leave one row.
+        """
         rows = alerts.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("ts"), F.col("events"))).dropDuplicates(["fingerprint"])
-        new = rows.join(self.table.read().select("fingerprint"), "fingerprint", "left_anti")
-        full = new.withColumns({"status": F.lit("open"), "assignee": F.lit(None).cast("string"), "note": F.lit(None).cast("string"), "updated_ts": F.lit(now).cast("bigint")})
-        return self.table.append(full)
+        rows = rows.withColumns({"status": F.lit("open"), "assignee": F.lit(None).cast("string"), "note": F.lit(None).cast("string"), "updated_ts": F.lit(now).cast("bigint")})
+        return self.table.transact(lambda base: (self.table.stage(rows.join(self.table.read(version=base).select("fingerprint"), "fingerprint", "left_anti")), []), batch)
 
     def triage(self, changes: DataFrame) -> int:
         """``changes``: (fingerprint, status?, assignee?, note?, updated_ts); nulls leave a value as it is."""
         c = changes.select("fingerprint", *[F.col(n).alias(f"n_{n}") for n in ("status", "assignee", "note", "updated_ts")])
-        merged = self.table.read().join(c, "fingerprint", "left").withColumns({n: F.coalesce(f"n_{n}", n) for n in ("status", "assignee", "note", "updated_ts")})
-        return self.table.replace(merged.select(*STORED.fieldNames()))
+        values = {n: F.coalesce(f"n_{n}", n) for n in ("status", "assignee", "note", "updated_ts")}
+        return self.table.replace(lambda stored: stored.join(c, "fingerprint", "left").withColumns(values).select(*STORED.fieldNames()))
+
+    def keep_newest(self, cap: int = RING) -> int:
+        """Drops all but the newest alerts, as a ring of this capacity would; returns the version."""
+        return self.table.replace(lambda stored: stored.orderBy(F.desc("ts"), "fingerprint").limit(cap))
 
     def recent(self, limit: int = 100, technique: str | None = None, status: str | None = None) -> DataFrame:
         rows = self.table.read()

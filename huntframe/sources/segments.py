@@ -6,11 +6,13 @@ log. Range reads open only segments that overlap; migration and retention rewrit
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.schema import EVENT
-from huntframe.session import _fs
+from huntframe.session import Stages, _fs, remove
 from huntframe.sources.versioned import VersionedTable
 
 
@@ -19,20 +21,27 @@ class SegmentStore:
         self.spark, self.table = spark, VersionedTable(spark, path, EVENT)
         self.cold = (cold_path or f"{path}/cold").rstrip("/")
 
-    def append(self, events: DataFrame, slices: int = 1) -> int:
-        """Adds events as segments, by equal spans of their time range."""
-        lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-        if lo is None:
+    def append(self, events: DataFrame, slices: int = 1, batch: tuple[str, int] | None = None) -> int:
+        """Adds events as segments, by equal spans of their time range; a numbered batch once.
+
+        The input is evaluated once: it is written as one folder, and the slices and their
+        statistics are made from that.
+        """
+        if batch and self.table.taken(batch[0]) >= batch[1]:
             return self.table.version()
+        stages = Stages(self.spark, "segments")
+        rows = stages.cut(events.select(*EVENT.fieldNames()), "rows")
+        lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+        if lo is None:
+            return self.table.transact(lambda _: ([], []), batch) if batch else self.table.version()
         step = (hi - lo) // slices + 1
-        which = F.call_function("div", F.col("ts") - F.lit(lo), F.lit(step)).cast("int")
-        add = []
-        for s in range(slices):
-            path = self.table.stage(events.where(which == s))
-            stat = self.spark.read.schema(EVENT).parquet(path).agg(F.min("ts"), F.max("ts"), F.count("*")).first()
-            if stat[2]:
-                add.append({"path": path, "tier": "warm", "min_ts": stat[0], "max_ts": stat[1], "rows": stat[2]})
-        return self.table.commit(add, [])
+        slice_ = F.coalesce(F.call_function("div", F.col("ts") - F.lit(lo), F.lit(step)), F.lit(0)).cast("int")
+        parts = self.table.stage(rows.withColumn("slice", slice_), by="slice")
+        stats = {str(r[0]): r[1:] for r in rows.groupBy(slice_.alias("s")).agg(F.min("ts"), F.max("ts"), F.count("*")).collect()}  # one row per slice
+        add = [{**p, "tier": "warm", **dict(zip(("min_ts", "max_ts", "rows"), stats[p["part"]]))} for p in parts]
+        version = self.table.transact(lambda _: (add, []), batch)
+        stages.drop("rows")
+        return version
 
     def catalog(self) -> list[dict]:
         return self.table.parts()
@@ -53,30 +62,37 @@ class SegmentStore:
 
     def migrate(self, now: int, age_us: int) -> int:
         """Moves warm segments older than the age to the cold folder; returns how many."""
-        old = [s for s in self.catalog() if s["tier"] == "warm" and now - s["max_ts"] > age_us]
-        moved = []
-        for s in old:
-            to = f"{self.cold}/{s['path'].rsplit('/', 1)[1]}"
-            src_fs, src = _fs(self.spark, s["path"])
-            dst_fs, dst = _fs(self.spark, to)
-            self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src_fs, src, dst_fs, dst, False, True, self.spark._jsc.hadoopConfiguration())
-            moved.append({**s, "path": to, "tier": "cold"})
-        if old:
-            self.table.commit(moved, [s["path"] for s in old])
+        old: list[dict] = []
+
+        def change(base: int):
+            old[:] = [s for s in self.table.parts(base) if s["tier"] == "warm" and now - s["max_ts"] > age_us]
+            moved = []
             for s in old:
-                fs, p = _fs(self.spark, s["path"])
-                fs.delete(p, True)
-        return len(old)
+                to = f"{self.cold}/{uuid.uuid4().hex}"
+                src_fs, src = _fs(self.spark, s["path"])
+                dst_fs, dst = _fs(self.spark, to)
+                self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src_fs, src, dst_fs, dst, False, True, self.spark._jsc.hadoopConfiguration())
+                moved.append({**s, "path": to, "tier": "cold"})
+            return (moved, [s["path"] for s in old]) if old else None
+
+        self.table.transact(change)
+        return self._forget(old)
 
     def expire(self, now: int, age_us: int) -> int:
         """Drops segments of any tier older than the age."""
-        old = [s["path"] for s in self.catalog() if now - s["max_ts"] > age_us]
-        if old:
-            self.table.commit([], old)
-            for path in old:
-                fs, p = _fs(self.spark, path)
-                fs.delete(p, True)
-        return len(old)
+        old: list[dict] = []
+
+        def change(base: int):
+            old[:] = [s for s in self.table.parts(base) if now - s["max_ts"] > age_us]
+            return ([], [s["path"] for s in old]) if old else None
+
+        self.table.transact(change)
+        return self._forget(old)
+
+    def _forget(self, segments: list[dict]) -> int:
+        for s in segments:
+            remove(self.spark, s["path"])
+        return len(segments)
 
 
 def segment_stats(events: DataFrame, width_us: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streaming twins: the same expressions over a stream, state where a result needs it.
 
-Sinks are ``foreachBatch`` upserts into versioned tables, so a repeated micro-batch is
-recognised by its number and results equal those of the batch twin.
+Sinks are ``foreachBatch`` upserts into versioned tables. A commit holds the number of its
+micro-batch, so a repeated one changes nothing and results equal those of the batch twin.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from huntframe.operators import correlation, rules
 from huntframe.operators.instants import unit_to_us
 from huntframe.schema import EVENT
-from huntframe.session import scratch
+from huntframe.session import Stages, scratch
 from huntframe.sources.versioned import VersionedTable
 from huntframe.types import schema
 
@@ -36,18 +36,34 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None] | No
 
 
 class Upserts:
-    """Additive counts per key, merged batch by batch; each batch number counts once."""
+    """Additive counts per key, merged batch by batch; each batch number counts once.
+
+    Keys are dealt by hash to a fixed number of parts. A batch reads and rewrites the parts that
+    its keys fall into, all others stay as they are.
+    """
+
+    PARTS = 64
 
     def __init__(self, spark: SparkSession, path: str, ddl: str, keys: list[str]):
         self.table, self.keys = VersionedTable(spark, path, schema(ddl)), keys
         self.values = [f.name for f in self.table.schema if f.name not in keys]
 
     def add(self, delta: DataFrame, batch: int) -> None:
-        parts = self.table.parts()
-        if any(p.get("batch", -1) >= batch for p in parts):
+        if self.table.taken("stream") >= batch:
             return
-        merged = self.table.read().unionByName(delta).groupBy(*self.keys).agg(*[F.sum(v).cast("bigint").alias(v) for v in self.values])
-        self.table.replace(merged, batch=batch)
+        stages = Stages(self.table.spark, "upserts")
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.PARTS)).cast("int")
+        delta = stages.cut(delta, "delta")
+        hit = {str(r[0]) for r in delta.select(part.alias("p")).distinct().collect()}  # at most PARTS rows
+
+        def change(base: int):
+            held = {p["path"] for p in self.table.parts(base) if p["part"] in hit}
+            merged = self.table.read(lambda p: p["path"] in held, base).unionByName(delta).groupBy(*self.keys).agg(*[F.sum(v).cast("bigint").alias(v) for v in self.values])
+            return self.table.stage(merged.withColumn("part", part), by="part"), list(held)
+
+        self.table.transact(change, ("stream", batch))
+        self.table.vacuum()
+        stages.drop("delta")
 
     def read(self) -> DataFrame:
         return self.table.read()
@@ -69,28 +85,22 @@ def alerts(stream: DataFrame, rule_set: list[rules.Rule], path: str) -> DataFram
     from huntframe.schema import ALERT
 
     out = VersionedTable(stream.sparkSession, path, ALERT)
-
-    def each(batch: DataFrame, n: int) -> None:
-        if not any(p.get("batch", -1) == n for p in out.parts()):
-            out.append(rules.match(batch, rule_set), batch=n)
-
-    run_available(stream, each)
+    run_available(stream, lambda batch, n: out.append(rules.match(batch, rule_set), ("stream", n)) and None)
     return out.read()
 
 
-def session_windows(stream: DataFrame, gap: str, watermark: str, path: str) -> DataFrame:
-    """Session windows per host that close once the watermark has passed them."""
-    out = VersionedTable(stream.sparkSession, path, schema("host string, start_us bigint, end_us bigint, n bigint"))
-    timed = stream.withColumn("at", F.timestamp_micros("ts")).withWatermark("at", watermark)
-    windows = timed.groupBy(F.session_window("at", gap).alias("w"), "host").agg(F.count("*").alias("n"))
-    flat = windows.select("host", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+def session_windows(stream: DataFrame, gap_us: int, path: str) -> DataFrame:
+    """``(host, start_us, end_us, n)``: sessions per host of a stream of ``(host, ts)``, open ones included.
 
-    def each(batch: DataFrame, n: int) -> None:
-        if not any(p.get("batch", -1) == n for p in out.parts()):
-            out.append(batch, batch=n)
+    Each micro-batch is merged into the stored sessions, in whatever order its events come, so
+    nothing waits for a watermark and nothing is dropped behind one.
+    """
+    from huntframe.operators.sessions import SessionTable, local_sessions
 
-    run_available(flat, each)
-    return out.read()
+    store = SessionTable(stream.sparkSession, path, gap_us)
+    owned = stream.select("ts", F.lit("device").alias("owner_kind"), F.col("host").alias("owner_name"))
+    run_available(owned, lambda batch, n: store.merge(local_sessions(batch, "ts", gap_us), n) and None)
+    return store.read().select(F.col("owner_name").alias("host"), "start_us", "end_us", F.col("n_events").alias("n"))
 
 
 _STATE = "entries array<struct<ts:bigint,rule_id:string,value:string,id:string>>"
@@ -119,10 +129,10 @@ def correlate(entries: DataFrame, rule: correlation.CorrelationRule, lateness: s
     return timed.groupBy("key").applyInPandasWithState(update, "key string, ts bigint, events array<string>", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def late_windows(stream: DataFrame, path: str):
-    """Late-event aggregates of a stream of ``(id, tenant, ts_us, arrival)``."""
+def late_windows(stream: DataFrame, path: str, redelivery_us: int | None = None):
+    """Late-event aggregates of a stream of ``(id, tenant, ts_us, arrival)``; with ``redelivery_us`` a watermark bounds the ids kept."""
     from huntframe.operators.late import LateWindows
 
-    windows = LateWindows(stream.sparkSession, path)
-    run_available(stream, lambda batch, _: windows.ingest(batch) and None)
+    windows = LateWindows(stream.sparkSession, path, redelivery_us=redelivery_us)
+    run_available(stream, lambda batch, n: windows.ingest(batch, n) and None)
     return windows

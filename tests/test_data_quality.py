@@ -165,7 +165,7 @@ INSTANTS = [
 ]
 
 
-def test_single_instants_and_an_incremental_dictionary(spark):
+def test_single_instants_and_an_incremental_dictionary(spark, monkeypatch):
     data = [(i, t, z, o, a, "x", "y") for i, (t, z, o, a, _) in enumerate(INSTANTS)]
     df = spark.createDataFrame(data, "record_id bigint, ts_text string, zone_name string, date_order string, recv_us bigint, candidates string, zone string")
     words = instants.InstantDictionary(spark, scratch(spark, "words"))
@@ -174,7 +174,10 @@ def test_single_instants_and_an_incremental_dictionary(spark):
     n = words.table.read().count()
     every = words.keyed(df)
     words.extend(every)
+    parsed = []
+    monkeypatch.setattr(instants, "parse", lambda new, real=instants.parse: parsed.append(new.count()) or real(new))
     words.extend(every)
+    assert parsed == [0]  # a later batch parses no known text
     assert words.table.read().count() == df.where("ts_text is not null").select("ts_text", "zone_name", "date_order", F.when(F.col("ts_text").rlike(r"\d{4}"), 0).otherwise(F.year(F.timestamp_micros("recv_us")))).distinct().count() > n
     got = {r.record_id: r.ts_us for r in words.lookup(every).collect()}
     assert got == {i: w for i, (*_, w) in enumerate(INSTANTS)}
@@ -212,12 +215,15 @@ def test_merging_touches_only_near_parts(spark):
     day = sessions.DAY
     store.merge(make((0, 10, 1)))
     store.merge(make((40 * day, 40 * day + 5, 1)))
-    far = {p["path"] for p in store.table.parts() if p["min_start"] == 0}
+    far = {p["path"] for p in store.table.parts() if p["start"] == 0}
     store.merge(make((40 * day + 90, 40 * day + 95, 2), (40 * day + 300, 40 * day + 300, 1)))
     assert far <= {p["path"] for p in store.table.parts()}
     assert rows(store.read()) == {("user", "a", 0, 10, 1), ("user", "a", 40 * day, 40 * day + 95, 3), ("user", "a", 40 * day + 300, 40 * day + 300, 1)}
     version = store.table.version()
     assert store.merge(make()) == version
+    store.merge(make((20, 30, 5)), 0)
+    store.merge(make((20, 30, 5)), 0)
+    assert rows(store.read().where("start_us = 0")) == {("user", "a", 0, 30, 6)}
 
 
 # Late events
@@ -234,13 +240,83 @@ def test_any_order_of_batches_gives_the_same(spark):
     ddl = "id string, tenant string, ts_us bigint, arrival bigint, old string"
     want = {("t", 0, 1, 4, 0, 3), (None, 0, 0, 1, 0, 1)}
     for order in (data, data[::-1], data[5:] + data[:5]):
-        w = late.LateWindows(spark, scratch(spark, "late"))
+        w = late.LateWindows(spark, scratch(spark, "late"), redelivery_us=None)
         changed = [rows(w.ingest(spark.createDataFrame([(*x, "z") for x in part], ddl))) for part in (order[:4], order[4:8], order[8:], [])]
-        assert rows(w.counts.read()) == want and changed[-1] == set()
-    assert rows(w.refused.read().select("id")) <= {("a",), ("d",)}
+        assert rows(w.counts()) == want and changed[-1] == set()
+        assert rows(w.refused()) == set()  # d was refused until its earlier arrival came
     assert late.late_counts(spark.createDataFrame([], ddl), scratch(spark, "late")).count() == 0
 
 
+LATE = "id string, tenant string, ts_us bigint, arrival bigint"
+
+
+def test_refused_rows_are_taken_back(spark):
+    w = late.LateWindows(spark, scratch(spark, "late"), redelivery_us=None)
+    w.ingest(spark.createDataFrame([("d", "t", 40, 7 * HOUR), ("e", "t", 40, 8 * HOUR)], LATE), 0)
+    assert rows(w.counts()) == {("t", 0, 0, 0, 2, 2)} and rows(w.refused()) == {("d", "t", 0, 7 * HOUR), ("e", "t", 0, 8 * HOUR)}
+    changed = rows(w.ingest(spark.createDataFrame([("d", "t", 40, HOUR)], LATE), 1))
+    assert changed == rows(w.counts()) == {("t", 0, 0, 1, 1, 2)} and rows(w.refused()) == {("e", "t", 0, 8 * HOUR)}
+
+
+@pytest.mark.parametrize("lost_after", [False, True])
+def test_a_batch_that_fails_at_its_commit_and_is_repeated(spark, monkeypatch, lost_after):
+    w = late.LateWindows(spark, scratch(spark, "late"))
+    batches = [[("a", "t", 10, HOUR - 1), ("b", "t", 20, 9 * HOUR)], [("b", "t", 20, HOUR), ("c", "u", 30, 2 * HOUR)]]
+    real, failing = type(w.store).commit, []
+
+    def commit(self, *args, **kw):
+        done = real(self, *args, **kw) if lost_after or not failing else None
+        if failing:
+            failing.clear()
+            raise OSError("the driver is lost")
+        return done
+
+    monkeypatch.setattr(type(w.store), "commit", commit)
+    for n, data in enumerate(batches):
+        df = spark.createDataFrame(data, LATE)
+        failing.append(True)
+        with pytest.raises(OSError):
+            w.ingest(df, n)
+        w.ingest(df, n)
+        w.ingest(df, n)
+    assert rows(w.counts()) == {("t", 0, 1, 2, 0, 1), ("u", 0, 0, 1, 0, 1)} and rows(w.refused()) == set()
+
+
+def test_two_writers_of_late_windows(spark):
+    path = scratch(spark, "late")
+    ours, theirs = late.LateWindows(spark, path), late.LateWindows(spark, path)
+    real, raced = ours.store.stage, []
+
+    def stage(table, df, by=None):
+        if not raced:
+            raced.append(theirs.ingest(spark.createDataFrame([("a", "t", 10, HOUR), ("x", "t", 10, HOUR)], LATE)))
+        return real(table, df, by)
+
+    ours.store.stage = stage
+    ours.ingest(spark.createDataFrame([("a", "t", 10, HOUR - 1), ("b", "t", 10, HOUR - 1)], LATE))
+    assert rows(ours.counts()) == {("t", 0, 2, 3, 0, 1)}
+
+
+def test_the_watermark_forgets_and_sets_aside(spark):
+    day = 24 * HOUR
+    w = late.LateWindows(spark, scratch(spark, "late"), redelivery_us=2 * day)
+    w.ingest(spark.createDataFrame([("a", "t", 10, HOUR), ("a2", "t", 10, 2 * day)], LATE), 0)
+    w.ingest(spark.createDataFrame([("b", "t", 5 * day, 5 * day), ("a2", "t", 10, 3 * day)], LATE), 1)
+    assert w.watermark() == 3 * day and rows(w.store.read("seen").select("id")) == {("b",)}
+    counts = rows(w.counts())
+    w.ingest(spark.createDataFrame([("old", "t", 20, 2 * day), ("b", "t", 5 * day, 6 * day)], LATE), 2)
+    assert rows(w.counts()) == counts and rows(w.overdue().select("id")) == {("old",)}
+
+
+def test_far_days_of_counts_stay(spark):
+    day = 24 * HOUR
+    w = late.LateWindows(spark, scratch(spark, "late"))
+    w.ingest(spark.createDataFrame([("a", "t", 10, HOUR), ("b", "t", 3 * day, 3 * day)], LATE), 0)
+    far = {p["path"] for p in w.store.parts(table="counts") if p["part"] == "0"}
+    w.ingest(spark.createDataFrame([("c", "t", 3 * day, 3 * day)], LATE), 1)
+    assert far <= {p["path"] for p in w.store.parts(table="counts")} and rows(w.counts()) == {("t", 0, 0, 1, 0, 1), ("t", 3 * day, 2, 2, 0, 0)}
+
+
 @pytest.mark.parametrize("n,want", [(1_700_000_000, 1_700_000_000_000_000), (1_700_000_000_123, 1_700_000_000_123_000), (1_700_000_000_123_456, 1_700_000_000_123_456), (1_700_000_000_123_456_789, 1_700_000_000_123_456)])
 def test_units(spark, n, want):
     assert spark.range(1).select(instants.unit_to_us(F.lit(n))).first()[0] == want

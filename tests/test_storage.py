@@ -12,7 +12,7 @@ from huntframe.session import scratch
 from huntframe.sources import alerts as al
 from huntframe.sources import sinks, tail
 from huntframe.sources.segments import SegmentStore
-from huntframe.sources.versioned import VersionedTable
+from huntframe.sources.versioned import Conflict, VersionedTable
 from huntframe.streaming import pipeline
 from huntframe.types import schema
 
@@ -26,16 +26,93 @@ def test_versions(spark):
     t = VersionedTable(spark, scratch(spark, "v"), schema("a bigint"))
     assert t.version() == 0 and t.read().count() == 0
     one = spark.range(3).withColumnRenamed("id", "a")
-    t.append(one, kind="x")
     t.append(one)
-    assert t.read().count() == 6 and t.read(lambda p: p.get("kind") == "x").count() == 3 and t.read(version=1).count() == 3
-    t.replace(one.limit(1))
+    t.append(one)
+    assert t.read().count() == 6 and t.read(lambda p: p["path"] == t.parts()[0]["path"]).count() == 3 and t.read(version=1).count() == 3
+    t.replace(lambda rows: rows.limit(1))
     assert t.read().count() == 1 and t.read(version=2).count() == 6
-    with pytest.raises(Exception):
+    with pytest.raises(Conflict):
         t.commit([], [], base=1)  # version 2 exists already: nobody overwrites it
     assert t.version() == 3
 
 
+def test_two_writers_lose_nothing(spark):
+    path = scratch(spark, "w")
+    ours, theirs = (VersionedTable(spark, path, schema("a bigint, n bigint")) for _ in range(2))
+    ours.append(spark.createDataFrame([(1, 0)], "a bigint, n bigint"))
+    raced = []
+
+    def add_one(rows):
+        if not raced:  # another writer rewrites the same row between our reading and our commit
+            raced.append(theirs.replace(lambda r: r.withColumn("n", F.col("n") + 1)))
+        return rows.withColumn("n", F.col("n") + 1)
+
+    ours.replace(add_one)
+    assert [tuple(r) for r in ours.read().collect()] == [(1, 2)] and ours.version() == 3
+
+
+def test_numbered_batches_count_once(spark):
+    t = VersionedTable(spark, scratch(spark, "n"), schema("a bigint"))
+    one = spark.range(3).withColumnRenamed("id", "a")
+    for n in (0, 0, 1, 0, 1):
+        t.append(one, ("s", n))
+    t.append(one, ("other", 0))
+    assert t.read().count() == 9 and t.taken("s") == 1 and t.taken("none") == -1
+
+
+def test_vacuum_keeps_what_versions_name(spark):
+    t = VersionedTable(spark, scratch(spark, "vac"), schema("a bigint"))
+    for n in range(6):
+        t.replace(lambda rows: spark.range(n + 1).withColumnRenamed("id", "a"))
+    staged = t.stage(spark.range(1).withColumnRenamed("id", "a"))  # another writer's, not committed yet
+    assert t.vacuum(keep=2) == 4 and t.versions() == [5, 6] and t.read(version=5).count() == 5 and t.read().count() == 6
+    t.transact(lambda _: (staged, []))
+    assert t.read().count() == 7
+    t.stage(spark.range(1).withColumnRenamed("id", "a"))
+    assert t.vacuum(keep=3, orphan_s=-1) == 1 and t.read().count() == 7
+
+
+def test_segments_and_alerts_of_a_repeated_batch(spark, monkeypatch):
+    from huntframe.plans import live
+
+    frames = spark.createDataFrame([(f"f{i}", "<34>Oct 11 22:14:15 h sshd[9]: Failed password for bob", "syslog", 10 + i) for i in range(3)], "id string, raw string, codec string, recv_us bigint")
+    s, a = SegmentStore(spark, scratch(spark, "s")), al.AlertStore(spark, scratch(spark, "a"))
+    rule = rules.Rule("Failed", {"s": ["failed"], "condition": "s"}, id="f")
+    real, fail = VersionedTable.commit, [1, 0, 1]  # the segments' commit is lost, then that of the alerts after the segments were stored
+
+    def commit(self, *args, **kw):
+        if fail and fail.pop(0):
+            raise OSError("lost before the commit")
+        return real(self, *args, **kw)
+
+    monkeypatch.setattr(VersionedTable, "commit", commit)
+    for lost in (True, True, False, False):
+        try:
+            live.ingest_batch(frames, s, a, [rule], number=7)
+            assert not lost
+        except OSError:
+            assert lost
+    assert s.total_rows() == 3 and s.read().count() == 3 and a.table.read().count() == 3
+
+
+def test_upserts_touch_only_their_parts(spark):
+    u = pipeline.Upserts(spark, scratch(spark, "u"), "k bigint, n bigint", ["k"])
+    make = lambda *k: spark.createDataFrame([(x, 1) for x in k], "k bigint, n bigint")
+    u.add(make(*range(100)), 0)
+    before = {p["path"] for p in u.table.parts()}
+    u.add(make(5), 1)
+    u.add(make(5), 1)
+    assert len(before - {p["path"] for p in u.table.parts()}) == 1
+    assert dict(map(tuple, u.read().where("n > 1").collect())) == {5: 2} and u.read().count() == 100
+
+
+def test_ring_of_newest_alerts(spark):
+    s = al.AlertStore(spark, scratch(spark, "ring"))
+    s.upsert(spark.createDataFrame([("r", "t", 3, None, [f"e{i}"], i) for i in range(10)], "rule_id string, title string, severity_id int, technique string, events array<string>, ts bigint"))
+    s.keep_newest(4)
+    assert sorted(r.ts for r in s.table.read().collect()) == [6, 7, 8, 9]
+
+
 def test_stages_and_cleanup(spark, monkeypatch):
     from huntframe import session
 
@@ -146,5 +223,6 @@ def test_streams_equal_batches(spark, tmp_path):
     assert correlation_stream.isStreaming
     want = correlation.correlate(entries(batch), c)
     assert {(r.ts, tuple(r.events)) for r in out.read().collect()} == {(r.ts, tuple(r.events)) for r in want.collect()} and want.count() == 4
-    w = pipeline.session_windows(stream(), "5 minutes", "1 minute", scratch(spark, "w"))
-    assert w.count() <= 1
+    w = pipeline.session_windows(stream(), 60_000_000, scratch(spark, "w"))
+    first = 1_700_000_000_000_000
+    assert [tuple(r) for r in w.collect()] == [("h", first, first + 11 * 60_000_000, 12)]
