@@ -1,17 +1,16 @@
 """Containers of fixed capacity filled with items of varying size, by bounded best fit.
 
-Items are dealt by a hash of their key to shards of a size that does not depend on the corpus;
-a shard is packed online with a fixed number of open containers, its items arriving by size,
-the largest first, so that small ones come last and fill what is left. The open ones are kept
-in a bitset keyed by free space: the best fit for an item of size s is the lowest set bit from
-s upwards, found by one shift and one mask. If no open container fits and the allowed number
-is open, the fullest closes first.
+Items are dealt by a hash of their key to shards of a size that does not depend on the corpus,
+and arrive in the order of that hash. A shard is packed online with a small fixed number of
+open containers, which bounds a task's memory whatever the items. The open ones are kept in a
+bitset keyed by free space: the best fit for an item of size s is the lowest set bit from s
+upwards, found by one shift and one mask. If no open container fits and the allowed number is
+open, the fullest closes first.
 
 An item larger than a container is cut into full containers and a rest; nothing else is split.
 
-Defined cases: null and zero sizes are no items; items of equal size keep the order of the
-hash of their key, then of the key; repeated keys are items of their own; an empty table gives an empty result;
-other columns are ignored.
+Defined cases: null and zero sizes are no items; repeated keys are items of their own and
+arrive the larger first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ from huntframe.session import Stages
 
 #: Items of a shard: small enough for one task, large enough that its open ends do not matter.
 SHARD_ITEMS = 50_000
-#: Open containers of a shard: its memory, whatever the items.
-OPEN_BINS = 32_768
+#: Open containers of a shard. More of them hardly fill better: items are small against containers.
+OPEN_BINS = 64
 
 
 class OpenBins:
@@ -36,7 +35,7 @@ class OpenBins:
 
     def __init__(self, capacity: int, most: int):
         self.capacity, self.most = capacity, most
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
         self.at: dict[int, list[int]] = {}
 
     def _take(self, free: int) -> int:
@@ -64,6 +63,7 @@ class OpenBins:
         else:
             if self.open == self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             bin_, free = self.made, self.capacity
             self.made += 1
         self._put(bin_, free - size)
@@ -108,7 +108,7 @@ def pack(items: DataFrame, capacity: int, open_bins: int = OPEN_BINS, key: str =
             yield out
 
     # The shard's number is the partition's, so that one task packs one shard from start to end.
-    dealt = rows.repartition(shards, F.xxhash64(key, "_size")).sortWithinPartitions(F.desc("_size"), F.xxhash64(key), key).withColumn("_shard", F.spark_partition_id().cast("long"))
+    dealt = rows.repartition(shards, F.xxhash64(key, "_size")).sortWithinPartitions(F.xxhash64(key), key, F.desc("_size")).withColumn("_shard", F.spark_partition_id().cast("long"))
     return dealt.mapInPandas(run, f"{key} {kind}, part_no bigint, first bigint, size bigint, container_id bigint, position bigint")
 
 
