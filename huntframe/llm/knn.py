@@ -7,11 +7,14 @@ the nearest is popped, inner nodes push their children, leaves are visits. How m
 visit is calibrated: the exact neighbours of a sample of queries are found by a blocked scan
 of all vectors, and visits are widened until the leaves visited hold the wanted share of them.
 Every query first visits a few leaves; the k-th cosine that it found there tells how far it is
-widened, as queries in thin places need many leaves and most need few.
+widened, as queries in thin places need many leaves and most need few. A range of queries that
+``MOST_VISITS`` leaves do not satisfy visits all leaves, which is exact.
 
-Queries are then sent to the leaves they visit and meet the members there as matrix products
-in blocks of bounded size, so a full leaf is many tasks; each block answers with its best few
-and the answers of a query are merged.
+Queries are then sent to the leaves they visit, where the members come first and the queries
+stream past them, so a task holds one block of members and one batch of queries however many
+queries a leaf draws. The members of a full leaf are cut by k-means into balls there and then:
+a query skips a ball if the triangle inequality shows that nothing in it can reach what the
+query has already. Each block answers with its best few and the answers of a query are merged.
 
 Exact copies are one class in the index; a class stands for the smallest ids among its copies,
 as many as a query can ask for, found by a rank limit that works before the shuffle. Thus a
@@ -25,6 +28,7 @@ than k give all there are; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,23 +43,26 @@ from huntframe.session import Stages
 TRAIN_SAMPLE = 65_536
 #: Queries whose neighbours are found exactly to calibrate the visits.
 CALIBRATION = 1_024
-#: Cells of a batch's matrix of keys (32 MB), and visits beyond which calibration does not widen.
-KEYS, MOST_VISITS = 8_000_000, 1_024
+#: Cells of a batch's matrix of keys (32 MB), and visits beyond which a range of queries takes all leaves.
+KEYS, MOST_VISITS = 8_000_000, 2_048
 #: Leaves that every query visits before it is decided how far to widen, and ranges to decide by.
 FIRST_VISITS, RANGES = 2, 12
-#: Members of a leaf block and queries that meet them in one product.
-BLOCK = 4_096
+#: Rows of one product, and members that a task holds of a leaf (17 MB of floats).
+BLOCK, HELD = 4_096, 65_536
+#: What single precision may lose of a cosine.
+SLACK = 4e-6
+
+log = logging.getLogger(__name__)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
-    centers = x[rng.choice(len(x), k, replace=False)].copy()
+    centers = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
     for _ in range(rounds):
         near = _nearest(x, centers)
-        sums = np.zeros_like(centers, dtype=np.float64)
-        np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
         empty = n == 0
-        centers = (sums / np.maximum(n, 1)[:, None]).astype(np.float32)
+        starts = (np.cumsum(n) - n)[~empty]
+        centers[~empty] = np.add.reduceat(x[np.argsort(near, kind="stable")], starts, axis=0, dtype=np.float64) / n[~empty][:, None]
         if empty.any():
             centers[empty] = x[rng.choice(len(x), int(empty.sum()), replace=False)]
     return centers
@@ -115,7 +122,7 @@ class Tree:
         found = np.zeros(len(x), dtype=np.int64)
         live = np.flatnonzero(count > 0)
         while len(live):
-            node = keys[live].argmin(1)
+            node = (keys if len(live) == len(x) else keys[live]).argmin(1)
             keys[live, node] = np.inf
             leaf = ~self.inner[node]
             at = live[leaf]
@@ -155,11 +162,53 @@ def _best(score: np.ndarray, cid: np.ndarray, want: int) -> tuple[np.ndarray, np
     want = min(want, score.shape[1])
     least = -np.partition(-score, want - 1, axis=1)[:, want - 1 : want]
     i, j = np.nonzero(score >= least)  # ties at the end included
-    order = np.lexsort((cid[j], -score[i, j], i))
-    i, j = i[order], j[order]
-    first = np.searchsorted(i, np.arange(len(score)))
-    keep = np.arange(len(i)) - first[i] < want
-    return i[keep], j[keep]
+    return _first(i, j, score[i, j], cid, want, len(score))[:2]
+
+
+def _first(i: np.ndarray, j: np.ndarray, score: np.ndarray, cid: np.ndarray, want: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scored places the first of each of ``n`` rows by score and class id."""
+    order = np.lexsort((cid[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] < want
+    return i[keep], j[keep], score[keep]
+
+
+class Members:
+    """The members of a leaf block, in balls of about BLOCK members with a centre and a radius."""
+
+    def __init__(self, cid: np.ndarray, unit: np.ndarray):
+        self.cid, self.unit, self.single = cid, unit, unit.astype(np.float32)
+        self.balls = [(np.arange(len(cid)), None, np.inf)]
+        if len(cid) > BLOCK:
+            k = -(-len(cid) // (BLOCK // 2))
+            rng = np.random.default_rng(7)
+            centers = _kmeans(self.single[rng.choice(len(cid), min(len(cid), 64 * k), replace=False)], k, rng)
+            near = _nearest(self.single, centers)
+            rows = [np.flatnonzero(near == c) for c in range(k)]
+            self.balls = [(r, centers[c], float(np.linalg.norm(unit[r] - centers[c], axis=1).max())) for c, r in enumerate(rows) if len(r)]
+
+    def answer(self, unit: np.ndarray, least: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, class id, cosine)``: each query's first members, as far as they reach what it has already."""
+        single, found = unit.astype(np.float32), []
+        reach = np.sqrt(np.maximum(0, 2 - 2 * (least - SLACK)))  # the distance at which the cosine is still enough
+        for rows, center, radius in self.balls:
+            who = np.arange(len(unit)) if center is None else np.flatnonzero(np.linalg.norm(unit - center, axis=1) - radius <= reach + 1e-6)
+            for at in range(0, len(rows), BLOCK):
+                part = rows[at : at + BLOCK]
+                if not len(who):
+                    break
+                s = single[who] @ self.single[part].T
+                floor = least[who]
+                if want < s.shape[1] and (floor < -1).any():
+                    floor = np.maximum(floor, -np.partition(-s, want - 1, axis=1)[:, want - 1])
+                i, j = np.nonzero(s >= (floor - SLACK)[:, None])
+                i, j = who[i], part[j]
+                score = np.round(np.einsum("ij,ij->i", unit[i], self.unit[j]), 6)
+                keep = score >= least[i]
+                found.append((i[keep], j[keep], score[keep]))
+        i, j, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        i, j, score = _first(i, j, score, self.cid, want, len(unit))
+        return i, self.cid[j], score
 
 
 def _exact(classes: DataFrame, queries: np.ndarray, most: int) -> DataFrame:
@@ -190,17 +239,28 @@ def calibrated(tree: Tree, classes: DataFrame, near: DataFrame, dim: int, most:
     truth = _exact(classes, queries, most + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= most + 1).orderBy("q", "r").toPandas()
     truth = truth[truth.cid.to_numpy() != some.cid.to_numpy()[truth.q]]
     truth = truth[truth.groupby("q").cumcount().to_numpy() < some.k.to_numpy()[truth.q]]
-    order = tree.visit(queries.astype(np.float32), min(tree.leaves, MOST_VISITS))
-    place = np.full((len(order), len(tree.centers)), MOST_VISITS, dtype=np.int32)
-    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
-    depth = place[truth.q.to_numpy(), truth.leaf.to_numpy()]
     ends = np.unique(np.quantile(some.least, np.linspace(0, 1, RANGES + 1)[1:-1]))
-    range_ = np.searchsorted(ends, some.least.to_numpy())[truth.q.to_numpy()]
-    visits = np.full(len(ends) + 1, FIRST_VISITS)
-    for r in range(len(visits)):
-        d = depth[range_ == r]
-        while len(d) and visits[r] < min(tree.leaves, MOST_VISITS) and (d < visits[r]).mean() < recall:
-            visits[r] += 1
+    own = np.searchsorted(ends, some.least.to_numpy())
+    leaf, range_, far = truth.leaf.to_numpy(), own[truth.q.to_numpy()], np.iinfo(np.int32).max
+    visits, reached = np.full(len(ends) + 1, FIRST_VISITS), np.ones(len(ends) + 1)
+    depth, limit = np.full(len(truth), far, dtype=np.int64), 32
+    while True:  # how deep the true neighbours lie, as far as the ranges that are not satisfied need to know
+        limit = min(limit, tree.leaves, MOST_VISITS)
+        for at in range(0, len(queries), 256):
+            order = tree.visit(queries[at : at + 256].astype(np.float32), limit)
+            place = np.full((len(order), len(tree.centers)), far, dtype=np.int64)
+            np.put_along_axis(place, order, np.arange(limit)[None, :], axis=1)
+            mine = (truth.q.to_numpy() >= at) & (truth.q.to_numpy() < at + 256)
+            depth[mine] = place[truth.q.to_numpy()[mine] - at, leaf[mine]]
+        for r in range(len(visits)):
+            d = np.sort(depth[range_ == r])
+            need = int(d[max(0, int(np.ceil(recall * len(d))) - 1)]) + 1 if len(d) else FIRST_VISITS
+            visits[r] = max(FIRST_VISITS, need) if need <= limit else tree.leaves
+            reached[r] = (d < visits[r]).mean() if need <= limit and len(d) else 1.0
+        if (visits <= limit).all() or limit == min(tree.leaves, MOST_VISITS):
+            break
+        limit *= 4
+    log.info("visits by range %s, recall on the sample %s", visits.tolist(), reached.round(4).tolist())
     return ends, visits
 
 
@@ -233,7 +293,7 @@ def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str =
     # Full leaves are dealt to blocks of members; the list of blocks has one entry per leaf.
     blocks = np.ones(len(tree.centers), dtype=np.int64)
     for leaf, n in classes.groupBy("leaf").count().collect():
-        blocks[leaf] = -(-n // BLOCK)
+        blocks[leaf] = -(-n // HELD)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Queries by the leaf blocks of their visits from ``lo`` to ``hi``; each class's own row is a member of one block."""
@@ -250,26 +310,38 @@ def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str =
                 who, leaf = np.repeat(who, times), np.repeat(leaf, times)
                 yield pd.concat([own, part.iloc[who].assign(leaf=leaf, block=block, member=False)], ignore_index=True)[["cid", "vec", "least", "leaf", "block", "member"]]
 
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best members of one block, as far as they reach what it has already."""
-        m, q = f[f.member], f[~f.member]
-        out = []
-        if len(m) and len(q):
-            base, cid = _unit(m.vec, dim), m.cid.to_numpy()
-            for a in range(0, len(q), BLOCK // 4):
-                part = q.iloc[a : a + BLOCK // 4]
-                s = np.round(_unit(part.vec, dim) @ base.T, 6)
-                i, j = _best(s, cid, most + 1)
-                keep = s[i, j] >= part.least.to_numpy()[i]
-                i, j = i[keep], j[keep]
-                at = np.searchsorted(i, np.arange(len(part) + 1))
-                other, score = cid[j], s[i, j]
-                out += [(c, other[x:y], score[x:y]) for c, x, y in zip(part.cid.tolist(), at[:-1].tolist(), at[1:].tolist()) if y > x]
-        return pd.DataFrame(out, columns=["cid", "other", "cosine"])
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query's best members of each block; in a block members come first, and queries stream past them."""
+        now, held, members = None, [], None
+        for f in frames:
+            place = f.leaf.to_numpy().astype(np.int64) << 32 | f.block.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(f)]
+            out = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b == a:
+                    continue
+                if place[a] != now:
+                    now, held, members = place[a], [], None
+                part = f.iloc[a:b]
+                member = part.member.to_numpy()
+                if member.any():
+                    held.append(part[member])
+                asking = part[~member]
+                if not len(asking) or not held:
+                    continue
+                if members is None:
+                    members = Members(np.concatenate([h.cid.to_numpy() for h in held]), np.concatenate([_unit(h.vec, dim) for h in held]))
+                for at in range(0, len(asking), BLOCK // 4):
+                    q = asking.iloc[at : at + BLOCK // 4]
+                    i, other, score = members.answer(_unit(q.vec, dim), q.least.to_numpy(), most + 1)
+                    cut = np.searchsorted(i, np.arange(len(q) + 1))
+                    out += [(c, other[x:y], score[x:y]) for c, x, y in zip(q.cid.tolist(), cut[:-1].tolist(), cut[1:].tolist()) if y > x]
+            yield pd.DataFrame(out, columns=["cid", "other", "cosine"])
 
     def asked(queries: DataFrame) -> DataFrame:
         routed = queries.select("cid", "vec", "leaf", "lo", "hi", "least").mapInPandas(route, "cid bigint, vec binary, least double, leaf int, block bigint, member boolean")
-        answers = routed.groupBy("leaf", "block").applyInPandas(meet, "cid bigint, other array<bigint>, cosine array<double>")
+        met = routed.repartition("leaf", "block").sortWithinPartitions("leaf", "block", F.desc("member"))
+        answers = met.mapInPandas(meet, "cid bigint, other array<bigint>, cosine array<double>")
         return answers.select("cid", F.zip_with("cosine", "other", lambda c, o: F.struct((-c).alias("far"), o.alias("other"))).alias("found"))
 
     def best(answers: DataFrame) -> DataFrame:
