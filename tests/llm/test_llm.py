@@ -122,6 +122,40 @@ def test_recall_of_the_tree(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
 
 
+def test_full_leaves_are_cut_into_balls_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 16))
+    x = (centers[rng.integers(0, 30, 1500)] + 0.2 * rng.normal(size=(1500, 16))).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = knn.Members(np.arange(1500), unit).answer(unit[:200], np.full(200, 0.8), 6)
+    monkeypatch.setattr(knn, "BLOCK", 128)
+    cut = knn.Members(np.arange(1500), unit)
+    got = cut.answer(unit[:200], np.full(200, 0.8), 6)
+    assert len(cut.balls) > 10 and all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_ranges_that_need_more_visits_take_all_leaves(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MOST_VISITS", 3)
+    x = np.random.default_rng(1).normal(size=(1200, 12)).astype(np.float32)  # nothing to cluster: few visits find little
+    df = frame(spark, [(i, [float(v) for v in r], 5, 0, "") for i, r in enumerate(x)])
+    got = {(r.id, r.other) for r in knn.neighbours(df, 12, leaf_rows=40).collect()}
+    want = brute_neighbours(list(range(1200)), x.astype(np.float64), [5] * 1200)
+    assert len(got & want) >= 0.99 * len(want)
+
+
+def test_a_collection_far_larger_than_its_sample(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TRAIN_SAMPLE", 64)  # as if the collection were far larger than its sample
+    rng = np.random.default_rng(5)
+    centers, sizes = rng.normal(size=(20, 8)), (500, 5000)
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    for n in sizes:
+        x = (centers[rng.integers(0, 20, n)] + 0.3 * rng.normal(size=(n, 8))).astype(np.float32)
+        df = frame(spark, [(i, [float(v) for v in r], 3, 0, "") for i, r in enumerate(x)])
+        got = {(r.id, r.other) for r in knn.neighbours(df, 8, leaf_rows=16).collect()}
+        want = brute_neighbours(list(range(n)), x.astype(np.float64), [3] * n)
+        assert len(got & want) >= 0.97 * len(want)
+
+
 def test_best_bin_first_visits_every_leaf_once():
     rng = np.random.default_rng(0)
     t = knn.Tree(rng.normal(size=(2000, 8)).astype(np.float32), 0.02)
@@ -212,6 +246,17 @@ def test_packing_loses_nothing(spark, monkeypatch, open_bins):
     assert packing.pack(df.limit(0), 64).count() == 0
 
 
+def test_the_bound_of_open_containers_binds():
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = [n % queries.CAPACITY for n in bpe.Encoder(VOCABULARY).count(d.text.tolist()).tolist() if n % queries.CAPACITY]
+    bins, most = packing.OpenBins(queries.CAPACITY, 8), 0
+    for s in sizes:
+        bins.place(s)
+        most = max(most, bins.open)
+    assert most == 8 and bins.closed > 0
+    assert sum(sizes) >= 0.95 * bins.made * queries.CAPACITY
+
+
 def test_p9_fills_containers(spark):
     r = packing.fill(queries.p9_packed(spark, SMALL), queries.CAPACITY).first()
     assert r.tokens == bpe.lengths(spark.read.parquet(f"{SMALL}/documents.parquet"), VOCABULARY).agg(F.sum("n_tokens")).first()[0]
@@ -224,7 +269,8 @@ def test_p9_fills_containers(spark):
 def test_prose():
     easy = "Keep the key in a safe place. Do not open the door. Then test it."
     assert reading.prose(easy)[0] == 3 and reading.prose("- Keep the key here\n- Do not open it now\n- Then test it again")[0] == 3
-    assert reading.prose("The door is shut now, and then call it. It took a day to fix the lock.")[0] == 3
+    assert reading.prose("The door is shut for now, and then we call the guard at the gate. It took a day to fix the lock.")[0] == 3
+    assert reading.prose("We keep the keys, the locks, and the doors shut, and so on. Do not open it.")[0] == 2
     for other in ("", "ok", "see above", "a1b2c3d4e5\nd4e5f6a7b8\nffeeddccbb", "host: web01\nport: 22\nmode: on", "2025-06-02T21:46:29Z mail-03 postfix[243]: RotateKey called", "Der Schlüssel liegt im Schrank. Bitte die Tür nicht öffnen. Danach noch einmal prüfen.", "Cierre la puerta por favor. No abra este archivo nunca. Luego pruebe otra vez."):
         assert reading.prose(other)[0] < 3
     assert reading.prose("The key is in the box. " * 50_000)[0] == 50_000
@@ -240,6 +286,15 @@ def test_held_out_accuracy(spark):
     assert r[0] >= 0.75 and r[1] >= 0.97  # graders themselves are one step off in a tenth of the cases
 
 
+def test_levels_are_settled_and_joins_compute_the_same(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/reading_labels.parquet")
+    level = lambda **kw: {r.doc_id: (r.reading_level, r.difficulty) for r in reading.levels(docs, labels, **kw).collect()}
+    settled, longer, joined = level(), level(residual=reading.RESIDUAL / 1000), level(in_arrays=0)
+    assert {k: v[0] for k, v in settled.items()} == {k: v[0] for k, v in longer.items()} == {k: v[0] for k, v in joined.items()}
+    assert max(abs(settled[k][1] - joined[k][1]) for k in settled) < 1e-9
+
+
 def test_levels_of_odd_tables(spark):
     ddl = "doc_id bigint, text string, buckets string, grade string"
     text = "Keep the key in a safe place. Do not open the door. Then test it again."
@@ -247,6 +302,7 @@ def test_levels_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, "g", 2), (1, "h", 2), (9, "g", 5), (2, "g", None)], "doc_id bigint, grader string, reading_level int")
     got = sorted(((r.doc_id or 0), r.reading_level) for r in reading.levels(docs, labels).collect())
     assert [g[0] for g in got] == [0, 1, 1, 4] and {g[1] for g in got} <= {1, 2, 3, 4, 5}
+    assert sorted(((r.doc_id or 0), r.reading_level) for r in reading.levels(docs, labels, in_arrays=0).collect()) == got
     assert reading.levels(docs, labels.limit(0)).count() == 0 and reading.levels(docs.limit(0), labels).count() == 0
 
 
