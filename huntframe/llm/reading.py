@@ -4,9 +4,9 @@ Documents are one side of the graph, the words of their prose the other; an edge
 logarithm of the count. Graded documents are clamped to their mean grade. Harmonic iterations
 run both ways: a word takes the weighted mean of its documents' difficulty, a document that of
 its words, where a word counts by how well it tells levels apart (the inverse square of its
-variance over documents, taken from the first rounds and then kept). Graded documents weigh as
-much as all others together, so the iterations contract by about one half and are repeated
-until no word, and hence no document, moves by more than a stated residual. The resulting
+variance over documents, taken from the first rounds and then kept). After those, graded
+documents weigh as much as all others together, so the iterations contract by about one half
+and are repeated until no word, and hence no document, moves by more than a stated residual. The resulting
 continuous difficulty is cut into levels at the four places that agree best with the grades.
 
 Words are keys of 64 bits. What goes from one iteration to the next is a level and a trust for
@@ -47,7 +47,7 @@ CUT_SAMPLE = 50_000
 #: Sentences or points that make running prose, and words of a clause that is a point.
 LEAST, CLAUSE = 3, 5
 #: Rounds in which the trust in words is measured, and the move at which the iterations end.
-TRUST_ROUNDS, RESIDUAL, MOST_ROUNDS = 3, 0.002, 200
+TRUST_ROUNDS, RESIDUAL, MOST_ROUNDS = 6, 0.002, 200
 
 # English function words.
 FUNCTION_WORDS = frozenset(
@@ -177,9 +177,9 @@ class _Arrays:
         self.nodes = stages.cut(nodes.mapInArrow(number, nodes.schema), "numbered")
         self.columns = self.nodes.select("words", "weights", "grade")
 
-    def sums(self, state: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per word the sums of weight, weight x level and weight x level squared over documents."""
-        mean, clamp, size = self.mean, self.clamp, self.size
+    def sums(self, state: tuple[np.ndarray, np.ndarray] | None, clamp: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word the sums of weight, weight x level and weight x level squared over documents; graded ones weigh ``clamp`` times."""
+        mean, size = self.mean, self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((3, size))
@@ -210,7 +210,7 @@ class _Arrays:
 
     def moved(self, state: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], float]:
         """Levels anew under the same trust, and how far the farthest trusted word moved."""
-        s0, s1, _ = self.sums(state)
+        s0, s1, _ = self.sums(state, self.clamp)
         level = np.where(s0 > 0, s1 / np.maximum(s0, 1e-300), state[0])
         return (level, state[1]), float(np.abs(level - state[0])[state[1] > 0].max(initial=0.0))
 
@@ -247,14 +247,14 @@ class _Joins:
         met = self.edges.join(state, "word").groupBy("doc").agg((F.sum(w * F.col("level")) / F.nullif(F.sum(w), F.lit(0.0))).alias("x"))
         return met
 
-    def _sums(self, state: DataFrame | None) -> DataFrame:
+    def _sums(self, state: DataFrame | None, clamp: float = 1.0) -> DataFrame:
         e = self.edges
         if state is None:
             e, level = e.where("grade is not null"), F.col("grade")
         else:
             e = e.join(self._levels(state), "doc", "left")
             level = F.coalesce("grade", "x", F.lit(self.mean))
-        pull = F.col("weight") * F.when(F.col("grade").isNotNull(), self.clamp).otherwise(1.0)
+        pull = F.col("weight") * F.when(F.col("grade").isNotNull(), clamp).otherwise(1.0)
         return e.groupBy("word").agg(F.sum(pull).alias("s0"), F.sum(pull * level).alias("s1"), F.sum(pull * level * level).alias("s2"))
 
     def measured(self, state: DataFrame | None) -> DataFrame:
@@ -263,7 +263,7 @@ class _Joins:
         return self.stages.cut(self._sums(state).select("word", level.alias("level"), (F.col("s0") / (F.col("s0") + 1) / (spread * spread)).alias("trust")), "state")
 
     def moved(self, state: DataFrame) -> tuple[DataFrame, float]:
-        new = self._sums(state).select("word", (F.col("s1") / F.col("s0")).alias("new"))
+        new = self._sums(state, self.clamp).select("word", (F.col("s1") / F.col("s0")).alias("new"))
         both = self.stages.cut(state.join(new, "word").select("word", F.col("new").alias("level"), "trust", F.abs(F.col("new") - F.col("level")).alias("move")), "state")
         return both.select("word", "level", "trust"), both.agg(F.max("move")).first()[0] or 0.0
 
