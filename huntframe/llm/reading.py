@@ -47,7 +47,7 @@ CUT_SAMPLE = 50_000
 #: Sentences or points that make running prose, and words of a clause that is a point.
 LEAST, CLAUSE = 3, 5
 #: Rounds in which the trust in words is measured, and the move at which the iterations end.
-TRUST_ROUNDS, RESIDUAL, MOST_ROUNDS = 6, 0.002, 200
+TRUST_ROUNDS, RESIDUAL, MOST_ROUNDS = 4, 0.002, 200
 
 # English function words.
 FUNCTION_WORDS = frozenset(
