@@ -9,7 +9,8 @@ is left in the window; the fold may start anew there. Such gaps are found from t
 last alert of each time bucket as wide as the span, which partial aggregation yields, so a
 group with a third of all alerts is seen as one row per span. The pieces between gaps are
 spread over tasks, and each task folds its sorted rows one after another, holding no more than
-one window. No group is ever collected.
+one window. No group is ever collected, and the fold is linear. What a window holds depends on
+all that fired since the last gap, so a group without gaps is one task.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huntframe.operators.rules import candidates, prepared
+from huntframe.operators.rules import Rule, candidates, match
 from huntframe.plans.dsl import duration_us
 from huntframe.schema import ALERT, SEVERITY_IDS
+from huntframe.session import Stages
 
 KINDS = ("event_count", "value_count", "temporal", "temporal_ordered")
 _COMPARE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
@@ -62,21 +64,66 @@ class CorrelationRule:
             raise CorrelationError("value_count needs a field")
         self.compares = compares
 
-    def holds(self, window: list[tuple]) -> bool:
-        """``window``: (ts, rule_id, value, event id) in order."""
-        if self.kind == "event_count":
-            return all(_COMPARE[k](len(window), v) for k, v in self.compares.items())
-        if self.kind == "value_count":
-            distinct = len({w[2] for w in window if w[2] is not None})
-            return all(_COMPARE[k](distinct, v) for k, v in self.compares.items())
-        if self.kind == "temporal":
-            return set(self.rules) <= {w[1] for w in window}
-        wanted = iter(self.rules)
-        need = next(wanted, None)
-        for w in window:
-            if w[1] == need:
-                need = next(wanted, None)
-        return need is None
+    def window(self) -> "RunningWindow":
+        return RunningWindow(self)
+
+
+class RunningWindow:
+    """The alerts of one group that lie within the span, with what the condition asks of them kept as they come and go.
+
+    An alert costs the same however full the window is: counts per rule or value, and for the
+    ordered kind per step the latest start of a chain of alerts that leads to it.
+    """
+
+    def __init__(self, rule: CorrelationRule):
+        self.rule, self.held = rule, deque()
+        self.wanted = set(rule.rules)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held.clear()
+        self.counts: dict = {}
+        self.starts: list[int | None] = [None] * len(self.rule.rules)
+
+    def _key(self, row: tuple):
+        return row[2] if self.rule.kind == "value_count" else row[1] if self.rule.kind == "temporal" and row[1] in self.wanted else None
+
+    def _holds(self, now: int) -> bool:
+        rule = self.rule
+        if rule.kind == "event_count":
+            return all(_COMPARE[k](len(self.held), v) for k, v in rule.compares.items())
+        if rule.kind == "value_count":
+            return all(_COMPARE[k](len(self.counts), v) for k, v in rule.compares.items())
+        if rule.kind == "temporal":
+            return len(self.counts) == len(self.wanted)
+        return not rule.rules or (self.starts[-1] is not None and self.starts[-1] >= now - rule.span_us)
+
+    def add(self, row: tuple, judged: bool = False) -> list[str] | None:
+        """Takes (ts, rule_id, value, event id) in order of time; the event ids if the condition holds, after which the window is empty.
+
+        Rows of a window that is restored were judged when they came.
+        """
+        self.held.append(row)
+        if (k := self._key(row)) is not None:
+            self.counts[k] = self.counts.get(k, 0) + 1
+        if self.rule.kind == "temporal_ordered":
+            for j in range(len(self.starts) - 1, -1, -1):
+                if row[1] == self.rule.rules[j]:
+                    start = row[0] if j == 0 else self.starts[j - 1]
+                    self.starts[j] = start if self.starts[j] is None or (start is not None and start > self.starts[j]) else self.starts[j]
+        while self.held[0][0] < row[0] - self.rule.span_us:
+            if (k := self._key(self.held.popleft())) is not None:
+                self.counts[k] -= 1
+                if not self.counts[k]:
+                    del self.counts[k]
+        if judged or not self._holds(row[0]):
+            return None
+        ids: list[str] = []
+        for w in self.held:  # repeated neighbours only, as arrival order matters
+            if not ids or ids[-1] != w[3]:
+                ids.append(w[3])
+        self.clear()
+        return ids
 
 
 def load(source: dict | str) -> CorrelationRule:
@@ -94,66 +141,71 @@ def load(source: dict | str) -> CorrelationRule:
     )
 
 
-def keyed(alerts: DataFrame, events: DataFrame, rule: CorrelationRule) -> DataFrame:
-    """``(key, ts, id, rule_id, value)`` of the alerts that a correlation rule refers to."""
-    chosen = alerts.where(F.col("rule_id").isin(rule.rules)).select("rule_id", F.col("ts").alias("alert_ts"), F.explode("events").alias("event_id"))
-    rows = prepared(events).join(chosen, F.col("id") == F.col("event_id"))
-    return _keys(rows, rule).select("key", F.col("alert_ts").alias("ts"), "id", "rule_id", "value")
-
-
-def _keys(rows: DataFrame, rule: CorrelationRule) -> DataFrame:
-    """The group key: values of each field sorted and joined; what is missing shares the empty key."""
+def _keys(rule: CorrelationRule) -> tuple[Column, Column]:
+    """The group key over prepared events, values of each field sorted and joined (what is missing shares the empty key), and the value that is counted."""
     parts = [F.array_join(F.array_sort(candidates(g)), ",") for g in rule.group_by]
     key = F.concat_ws("\u001f", *parts) if parts else F.lit("")
     value = F.get(candidates(rule.condition["field"]), F.lit(0)) if rule.kind == "value_count" else F.lit(None).cast("string")
-    return rows.withColumns({"key": key, "value": value})
+    return key, value
+
+
+def matched(events: DataFrame, base: list[Rule], rules: list[CorrelationRule]) -> DataFrame:
+    """Alerts of the base rules with ``entries``: for each correlation rule that refers to the alert's rule its place, group key and value.
+
+    Keys and values are read from the event where it is matched, so events are scanned once for
+    any number of rules and correlations and alerts are never joined back to them.
+    """
+    places = {i: [n for n, c in enumerate(rules) if b.rule_id in c.rules] for i, b in enumerate(base)}
+
+    def entry(n: int) -> Column:
+        key, value = _keys(rules[n])
+        concerned = [i for i, used in places.items() if n in used]
+        return F.when(F.col("_position").isin(concerned), F.struct(F.lit(n).alias("rule"), key.alias("key"), value.alias("value")))
+
+    none = F.expr("cast(array() as array<struct<rule:int,key:string,value:string>>)")
+    return match(events, base, {"entries": F.array_compact(F.array(*[entry(n) for n in range(len(rules))])) if rules and base else none})
 
 
-def fold(rule: CorrelationRule, rows: Iterator[tuple], window: deque | None = None) -> Iterator[tuple[int, list[str]]]:
+def entries(alerts: DataFrame) -> DataFrame:
+    """``(rule, key, ts, id, rule_id, value)``: one row per correlation rule and matched alert."""
+    return alerts.select("rule_id", "ts", F.col("events")[0].alias("id"), F.explode("entries").alias("e")).select("e.rule", "e.key", "ts", "id", "rule_id", "e.value")
+
+
+def fold(rule: CorrelationRule, rows: Iterator[tuple], window: RunningWindow | None = None) -> Iterator[tuple[int, list[str]]]:
     """Correlated alerts of one group's rows (ts, rule_id, value, id) in order: time and event ids."""
-    window = deque() if window is None else window
+    window = rule.window() if window is None else window
     for row in rows:
-        window.append(row)
-        while window and window[0][0] < row[0] - rule.span_us:
-            window.popleft()
-        held = list(window)
-        if rule.holds(held):
-            ids: list[str] = []
-            for w in held:  # repeated neighbours only, as arrival order matters
-                if not ids or ids[-1] != w[3]:
-                    ids.append(w[3])
+        if (ids := window.add(row)) is not None:
             yield row[0], ids
-            window.clear()
 
 
-def correlate(entries: DataFrame, rule: CorrelationRule) -> DataFrame:
-    """``(key, ts, events)``: when the rule fires, from ``keyed`` entries."""
-    bucketed = entries.withColumn("bucket", F.call_function("div", F.col("ts"), F.lit(rule.span_us)))
-    spans = bucketed.groupBy("key", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    order = Window.partitionBy("key").orderBy("bucket")
-    start = F.coalesce((F.col("lo") - F.lag("hi").over(order) > rule.span_us).cast("int"), F.lit(1))
-    pieces = spans.withColumn("start", start).withColumn("piece", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("key", "bucket", "piece")
-    cut = bucketed.join(pieces, ["key", "bucket"])
+def correlate(keyed: DataFrame, rules: CorrelationRule | list[CorrelationRule]) -> DataFrame:
+    """``(key, ts, events)``, with ``rule`` for a list of rules: when rules fire, all of them in one pass over keyed entries."""
+    single = isinstance(rules, CorrelationRule)
+    listed = [rules] if single else rules
+    rows = keyed.withColumn("rule", F.lit(0)) if single else keyed
+    span = F.element_at(F.array(*[F.lit(r.span_us) for r in listed]), F.col("rule") + 1)
+    bucketed = rows.withColumns({"span": span, "bucket": F.call_function("div", F.col("ts"), span)})
+    spans = bucketed.groupBy("rule", "key", "span", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    order = Window.partitionBy("rule", "key").orderBy("bucket")
+    start = F.coalesce((F.col("lo") - F.lag("hi").over(order) > F.col("span")).cast("int"), F.lit(1))
+    pieces = spans.withColumn("start", start).withColumn("piece", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("rule", "key", "bucket", "piece")
+    cut = bucketed.join(pieces, ["rule", "key", "bucket"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, window = None, deque()
+        now, window = None, None
         for f in frames:
             out = []
-            for key, piece, ts, rule_id, value, id_ in f[["key", "piece", "ts", "rule_id", "value", "id"]].itertuples(index=False, name=None):
-                if (key, piece) != now:
-                    now = (key, piece)
-                    window.clear()
-                out += [(key, t, ids) for t, ids in fold(rule, iter([(ts, rule_id, value, id_)]), window)]
-            yield pd.DataFrame(out, columns=["key", "ts", "events"])
-
-    spread = cut.repartition("key", "piece").sortWithinPartitions("key", "piece", "ts", "id", "rule_id")
-    return spread.mapInPandas(run, "key string, ts bigint, events array<string>")
+            for rule, key, piece, *row in f[["rule", "key", "piece", "ts", "rule_id", "value", "id"]].itertuples(index=False, name=None):
+                if (rule, key, piece) != now:
+                    now, window = (rule, key, piece), listed[rule].window()
+                if (ids := window.add(tuple(row))) is not None:
+                    out.append((rule, key, row[0], ids))
+            yield pd.DataFrame(out, columns=["rule", "key", "ts", "events"])
 
-
-def as_alerts(fired: DataFrame, rule: CorrelationRule) -> DataFrame:
-    return fired.select(
-        F.lit(rule.id).alias("rule_id"), F.lit(rule.title).alias("title"), F.lit(SEVERITY_IDS.get(rule.level, 3)).alias("severity_id"), F.lit(rule.technique).cast("string").alias("technique"), "events", "ts"
-    ).select(*ALERT.fieldNames())
+    spread = cut.repartition("rule", "key", "piece").sortWithinPartitions("rule", "key", "piece", "ts", "id", "rule_id")
+    fired = spread.mapInPandas(run, "rule int, key string, ts bigint, events array<string>")
+    return fired.drop("rule") if single else fired
 
 
 def suppressed(rules: list[CorrelationRule]) -> list[str]:
@@ -161,12 +213,16 @@ def suppressed(rules: list[CorrelationRule]) -> list[str]:
     return sorted({r for c in rules if not c.generate for r in c.rules})
 
 
-def retro_hunt(events: DataFrame, base: list, rules: list[CorrelationRule]) -> DataFrame:
-    """History replayed: base alerts that are not suppressed, and correlated alerts."""
-    from huntframe.operators.rules import match
-
-    alerts = match(events, base)
-    out = alerts.where(~F.col("rule_id").isin(suppressed(rules)))
-    for rule in rules:
-        out = out.unionByName(as_alerts(correlate(keyed(alerts, events, rule), rule), rule))
-    return out
+def retro_hunt(events: DataFrame, base: list[Rule], rules: list[CorrelationRule]) -> DataFrame:
+    """History replayed: base alerts that are not suppressed, and correlated alerts. Events are scanned once."""
+    alerts = Stages(events.sparkSession, "hunt").cut(matched(events, base, rules), "alerts")
+    out = alerts.where(~F.col("rule_id").isin(suppressed(rules))).select(*ALERT.fieldNames())
+    if not rules:
+        return out
+    fired = correlate(entries(alerts), rules)
+    at = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("rule") + 1)
+    named = fired.select(
+        at([r.id for r in rules], "string").alias("rule_id"), at([r.title for r in rules], "string").alias("title"), at([SEVERITY_IDS.get(r.level, 3) for r in rules], "int").alias("severity_id"),
+        at([r.technique for r in rules], "string").alias("technique"), "events", "ts",
+    )
+    return out.unionByName(named)

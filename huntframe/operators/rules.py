@@ -3,7 +3,7 @@
 A rule is a mapping (from YAML or a dict): named selections and a condition over them. Each
 rule becomes one boolean expression; all rules of a set become one array of alerts per event
 that is exploded, so events are read once whatever the number of rules and nothing is joined.
-Long rule sets are evaluated in projections of ``CHUNK`` rules to keep generated code small.
+Long rule sets are nested arrays of ``CHUNK`` rules, so that no expression has too many children.
 """
 
 from __future__ import annotations
@@ -226,31 +226,28 @@ def compile_rule(rule: Rule) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
-def match(events: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
-    """One alert row per matching rule and event, with the event columns named in ``keep``."""
-    keep = keep or []
-    ready = prepared(events)
-    out = []
-    for at in range(0, len(rules), CHUNK):
-        hits = [
-            F.when(
-                compile_rule(r),
-                F.struct(
-                    F.lit(r.rule_id).alias("rule_id"),
-                    F.lit(r.title).alias("title"),
-                    F.lit(r.severity_id).alias("severity_id"),
-                    F.lit(r.technique).cast("string").alias("technique"),
-                    F.array("id").alias("events"),
-                    F.col("ts"),
-                ),
-            )
-            for r in rules[at : at + CHUNK]
-        ]
-        rows = ready.select(*[F.col(k).alias(f"_{k}") for k in keep], F.explode(F.array_compact(F.array(*hits))).alias("a"))
-        out.append(rows.select("a.*", *[F.col(f"_{k}").alias(k) for k in keep]))
-    if not out:
-        return events.sparkSession.createDataFrame([], ALERT)
-    return reduce(DataFrame.unionByName, out)
+def match(events: DataFrame, rules: list[Rule], keep: list[str] | dict[str, Column] | None = None) -> DataFrame:
+    """One alert row per matching rule and event, in one scan whatever the number of rules.
+
+    ``keep`` adds columns of the event by name, or expressions over ``prepared`` events. They may
+    use ``_position``, which is the rule's place in the list.
+    """
+    keep = {k: F.col(k) for k in keep} if isinstance(keep, list) else keep or {}
+    if not rules:
+        none = prepared(events).withColumn("_position", F.lit(0)).where(F.lit(False))
+        return none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ALERT], *[e.alias(k) for k, e in keep.items()])
+
+    def alert(position: int, r: Rule) -> Column:
+        fields = [
+            F.lit(position).alias("_position"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.severity_id).alias("severity_id"),
+            F.lit(r.technique).cast("string").alias("technique"), F.array("id").alias("events"), F.col("ts"),
+        ]
+        return F.when(compile_rule(r), F.struct(*fields))
+
+    hits = [alert(i, r) for i, r in enumerate(rules)]
+    parts = [F.array_compact(F.array(*hits[at : at + CHUNK])) for at in range(0, len(hits), CHUNK)]
+    rows = prepared(events).withColumn("_alert", F.explode(F.flatten(F.array(*parts)))).withColumn("_position", F.col("_alert._position"))
+    return rows.select(*[F.col(f"_alert.{c}").alias(c) for c in ALERT.fieldNames()], *[e.alias(k) for k, e in keep.items()])
 
 
 def run_cases(spark, rule: Rule, cases: list[dict]) -> DataFrame:

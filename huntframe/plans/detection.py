@@ -72,11 +72,6 @@ BOTH = correlation.CorrelationRule("corr-both", "Refused and tools", "temporal",
 ORDERED = correlation.CorrelationRule("corr-order", "Tools, then keys", "temporal_ordered", ["proc-tools", "file-keys"], "12h", ["host"])
 
 
-def _keyed(spark: SparkSession, d: str, rule: correlation.CorrelationRule) -> DataFrame:
-    e = unique_events(spark, d)
-    return correlation.keyed(rules.match(e, [r for r in RULES if r.rule_id in rule.rules]), e, rule)
-
-
 def _fold_sql(rule: correlation.CorrelationRule, key: str, value: str, holds: str) -> str:
     """The fold as a recursive query that walks each group's alerts and carries the window as a list."""
     chosen = " UNION ALL ".join(f"SELECT '{k}' AS rule_id, id, ts, {key} AS key, {value} AS value FROM ue WHERE coalesce({RULE_SQL[k][0]}, false)" for k in rule.rules)
@@ -96,7 +91,8 @@ _HOST = "coalesce(json_extract_string(fields_json, '$.host'), host, '')"
 
 
 def _fired(spark: SparkSession, d: str, rule: correlation.CorrelationRule) -> DataFrame:
-    return correlation.correlate(_keyed(spark, d, rule), rule)
+    base = [r for r in RULES if r.rule_id in rule.rules]
+    return correlation.correlate(correlation.entries(correlation.matched(unique_events(spark, d), base, [rule])), [rule]).drop("rule")
 
 
 def _sized(fired: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ micro-batch, so a repeated one changes nothing and results equal those of the ba
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -117,10 +116,12 @@ def correlate(entries: DataFrame, rule: correlation.CorrelationRule, lateness: s
         if state.hasTimedOut:
             state.remove()
             return
-        window = deque(tuple(e) for e in (state.get[0] if state.exists else []))
+        window = rule.window()
+        for e in state.get[0] if state.exists else []:
+            window.add(tuple(e), judged=True)
         rows = pd.concat(list(frames)).sort_values(["ts", "id", "rule_id"])
         out = [(key[0], t, ids) for t, ids in correlation.fold(rule, rows[["ts", "rule_id", "value", "id"]].itertuples(index=False, name=None), window)]
-        state.update(([tuple(w) for w in window],))
+        state.update(([tuple(w) for w in window.held],))
         idle = rule.span_us // 1000 + 3_600_000
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows.ts.max() // 1000)) + idle)
         yield pd.DataFrame(out, columns=["key", "ts", "events"])

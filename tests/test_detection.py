@@ -2,8 +2,11 @@
 
 import json
 import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from huntframe.functions import enrich, scores
@@ -64,7 +67,9 @@ def test_rule_set_cases_and_yaml(spark):
     assert [(r.name, r.matched, r.passed) for r in got] == [("hit", True, True), ("miss", False, False)]
     many = [rules.Rule(f"r{i}", {"s": [f"m{i % 3}"], "condition": "s"}) for i in range(120)]
     df = spark.createDataFrame([event("a", "m0"), event("b", "m1 m2")], DDL)
-    assert rules.match(df, many).count() == 120 and rules.match(df, []).count() == 0 and rules.match(df.limit(0), many).count() == 0
+    got = rules.match(df, many)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # one scan for any number of rules
+    assert got.count() == 120 and rules.match(df, []).count() == 0 and rules.match(df.limit(0), many).count() == 0
 
 
 def fire(spark, rule, stream):
@@ -101,6 +106,58 @@ def test_correlation_equals_a_plain_fold(spark):
     assert fire(spark, rule, stream) == sorted(want) and want
 
 
+def plain_fold(rule, rows):
+    """The window kept whole and judged anew at every row."""
+    window, out = [], []
+    for row in rows:
+        window = [w for w in [*window, row] if w[0] >= row[0] - rule.span_us]
+        if rule.kind == "event_count":
+            hit = len(window) >= rule.condition["gte"]
+        elif rule.kind == "value_count":
+            hit = len({w[2] for w in window if w[2] is not None}) >= rule.condition["gte"]
+        elif rule.kind == "temporal":
+            hit = set(rule.rules) <= {w[1] for w in window}
+        else:
+            steps = iter(w[1] for w in window)
+            hit = all(any(r == s for s in steps) for r in rule.rules)
+        if hit:
+            out.append((row[0], [w[3] for w in window]))
+            window = []
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from("abc"), st.sampled_from([None, "x", "y", "z"])), max_size=40), st.sampled_from(correlation.KINDS), st.sampled_from([["a", "b"], ["a", "a", "b"], ["c", "a", "c"]]))
+def test_running_windows_equal_whole_ones(steps, kind, names):
+    rule = correlation.CorrelationRule("c", "c", kind, names, "5s", [], {"field": "host", "gte": 3})
+    t, rows = 0, []
+    for i, (gap, r, v) in enumerate(steps):
+        t += gap * 1_000_000
+        rows.append((t, r, v, f"{i}"))
+    assert list(correlation.fold(rule, iter(rows))) == plain_fold(rule, rows)
+
+
+@pytest.mark.parametrize("kind", correlation.KINDS)
+def test_a_group_that_never_fires_is_linear(kind):
+    rule = correlation.CorrelationRule("c", "c", kind, ["a", "never"], "1h", [], {"field": "host", "gte": 10**9})
+    began = time.time()
+    assert list(correlation.fold(rule, ((i, "a", str(i % 7), str(i)) for i in range(100_000)))) == []
+    assert time.time() - began < 5
+
+
+def test_correlations_scan_events_once(spark):
+    rows = [event(f"e{i}", "failed", ts=i * M, actor="m", host=f"h{i}") for i in range(4)]
+    base = [rules.Rule("Failed", {"s": ["failed"], "condition": "s"}, id="f")]
+    many = [correlation.CorrelationRule(f"c{i}", "C", kind, ["f"], "10m", ["user"], {"field": "host", "gte": 2 + i % 3}) for i, kind in enumerate(["event_count", "value_count"] * 5)]
+    df = spark.createDataFrame(rows, DDL)
+    assert correlation.matched(df, base, many)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {}
+    for r in correlation.retro_hunt(df, base, many).collect():
+        got.setdefault(r.rule_id, []).append(len(r.events))
+    assert got == {f"c{i}": [2 + i % 3] * (4 // (2 + i % 3)) for i in range(10)}
+    assert correlation.retro_hunt(df, base, []).count() == 4 and correlation.retro_hunt(df, [], many).count() == 0
+
+
 def test_retro_hunt_suppresses(spark):
     rows = [event(f"e{i}", "failed", ts=t * M, actor=a) for i, (t, a) in enumerate([(3, "m"), (1, "m"), (2, "alice"), (2, "m")])]
     base = [rules.Rule("Failed", {"s": ["failed"], "condition": "s"}, id="f")]
