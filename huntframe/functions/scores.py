@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huntframe.functions.text import let
 from huntframe.schema import lookup
@@ -91,24 +94,39 @@ def event_text(class_name: Column, actor_kind: Column, actor: Column, target_kin
     )
 
 
-def hash_embed(text: Column, dim: int = 128) -> Column:
-    """A unit vector of hashed words: each adds plus or minus one to the place its SHA-1 names."""
+#: Places of a hashed embedding.
+DIM = 128
+
+
+def hash_places(text: Column) -> Column:
+    """The words of a text hashed: per word its place from 1, negative where it counts minus one. A short array that stands for a long vector."""
     tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
-    def place(t: Column) -> Column:
-        return F.conv(F.substring(F.sha1(t), 39, 2), 16, 10).cast("int") % dim
+    def place(digest: Column) -> Column:
+        at = F.conv(F.substring(digest, 39, 2), 16, 10).cast("int") % DIM + 1
+        return F.when(F.conv(F.substring(digest, 32, 1), 16, 10).cast("int") % 4 >= 2, -at).otherwise(at)
+
+    return F.transform(F.transform(tokens, lambda t: F.sha1(t)), place)
+
+
+def dense(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whole-numbered vectors, one per row, of ``hash_places`` arrays laid end to end."""
+    flat = flat.astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(row * DIM + np.abs(flat) - 1, np.sign(flat), minlength=len(sizes) * DIM).reshape(-1, DIM)
 
-    def sign(t: Column) -> Column:
-        return F.when(F.conv(F.substring(F.sha1(t), 32, 1), 16, 10).cast("int") % 4 >= 2, -1.0).otherwise(1.0)
 
-    placed = F.transform(tokens, lambda t: F.struct(place(t).alias("p"), sign(t).alias("s")))
-    sums = F.aggregate(placed, F.array_repeat(F.lit(0.0), dim), lambda acc, t: F.transform(acc, lambda x, i: F.when(i == t["p"], x + t["s"]).otherwise(x)))
+def _unit(places: pd.Series) -> pd.Series:
+    sizes = places.map(lambda p: 0 if p is None else len(p)).to_numpy(dtype=np.int64)
+    flat = np.concatenate([np.asarray(p) for p in places if p is not None and len(p)]) if sizes.sum() else np.zeros(0)
+    v = dense(flat, sizes)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    return pd.Series([None if p is None else x for p, x in zip(places, v.tolist())], dtype=object)
 
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return let(F.struct(v.alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
 
-    return let(sums, unit)
+def hash_embed(text: Column) -> Column:
+    """A unit vector of hashed words: each adds plus or minus one to the place its SHA-1 names. No words give the zero vector."""
+    return F.pandas_udf(_unit, T.ArrayType(T.DoubleType()))(hash_places(text))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -250,6 +250,12 @@ def match(events: DataFrame, rules: list[Rule], keep: list[str] | dict[str, Colu
     return rows.select(*[F.col(f"_alert.{c}").alias(c) for c in ALERT.fieldNames()], *[e.alias(k) for k, e in keep.items()])
 
 
+def techniques(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``(id, technique, place)`` of the matches of rules that name a technique; ``place`` is the rule's in the list."""
+    found = match(events, rules, {"place": F.col("_position")})
+    return found.where("technique is not null").select(F.col("events")[0].alias("id"), "technique", "place")
+
+
 def run_cases(spark, rule: Rule, cases: list[dict]) -> DataFrame:
     """A rule's own test cases: ``(name, expected, matched, passed)``."""
     import json

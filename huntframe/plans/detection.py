@@ -12,7 +12,7 @@ from huntframe.functions.normalize import normalize, to_events
 from huntframe.operators import campaigns as cp
 from huntframe.operators import correlation, evals, graph, rules, templates, vectors
 from huntframe.schema import SQL_EVENTS, SQL_UNIQUE, events, unique_events
-from huntframe.session import scratch, table
+from huntframe.session import Stages, scratch, table
 from huntframe.sources import alerts as store
 from huntframe.sources import codecs
 from huntframe.sources.segments import SegmentStore
@@ -265,14 +265,14 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _campaigns(spark: SparkSession, d: str):
-    e = unique_events(spark, d)
-    similar = cp.semantic_links(cp.embedded(e), 30 * cp.MINUTE, with_sim=True)
+    e = Stages(spark, "events").cut(unique_events(spark, d), "unique")
+    similar = cp.nearest_links(cp.embedded(e), 30 * cp.MINUTE)
     return e, *cp.campaigns(e, 30 * cp.MINUTE, similar=similar)
 
 
 @query()
 def campaigns(spark: SparkSession, d: str) -> DataFrame:
-    return _campaigns(spark, d)[1]
+    return cp.by_score(_campaigns(spark, d)[1])
 
 
 @query()
@@ -283,9 +283,8 @@ def causal_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _incidents(spark: SparkSession, d: str, selector: str) -> DataFrame:
     e, _, members = _campaigns(spark, d)
-    edges = cp.causal_edges(members, e)
-    seen = rules.match(e, RULES).where("technique is not null").select(F.explode("events").alias("id"), "technique")
-    return cp.incidents(cp.chains(members, e, edges, selector), e, edges, seen)
+    edges = Stages(spark, "causal").cut(cp.causal_edges(members, e), "edges")
+    return cp.incidents(cp.chains(members, e, edges, selector), e, edges, rules.techniques(e, RULES))
 
 
 @query()
@@ -300,7 +299,7 @@ def incidents_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def semantic_links(spark: SparkSession, d: str) -> DataFrame:
-    return cp.semantic_links(cp.embedded(unique_events(spark, d)), 6 * 60 * cp.MINUTE)
+    return cp.semantic_links(cp.embedded(unique_events(spark, d)), 6 * 60 * cp.MINUTE).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(

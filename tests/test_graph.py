@@ -59,7 +59,7 @@ def test_incident_and_campaigns(spark):
     rows = [event("e1", "failed password", 0, actor="m", host="h", cls=3002, severity=4), event("e2", "bash", 100, actor="m", host="h", cls=1007, severity=3), event("e3", "flow", 200, actor="m", host="h", cls=4001), event("far", "x", 10**12, actor="m", host="h", cls=4001), event("f1", "x", 0, host="z"), event("f2", "x", 5, host="z")]
     df = spark.createDataFrame(rows, DDL)
     rated, members = cp.campaigns(df)
-    assert [(r.campaign, r.n_events, r.n_classes, r.n_links) for r in rated.collect()] == [("e1", 3, 3, 2)]
+    assert [(r.campaign, r.n_events, r.n_classes, r.n_links) for r in rated.collect()] == [("e1", 3, 3, 3)]
     assert cp.campaigns(df, cross_domain=False)[0].count() == 2
     edges = cp.causal_edges(members, df)
     assert {(r.src, r.dst) for r in edges.collect()} == {("e1", "e2"), ("e2", "e3")} and "shares host:h, user:m" in edges.first().reason
@@ -139,30 +139,75 @@ def test_measures(spark):
     assert list(itertools.islice(evals.T95, 2)) == [12.706, 4.303]
 
 
+def cosines(rows):
+    from huntframe.functions.scores import dense
+
+    x = np.concatenate([dense(np.asarray(r.places or [], np.int64), np.array([len(r.places or [])])) for r in rows])
+    n = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return (x / n) @ (x / n).T
+
+
 def test_campaigns_cover_all_events_and_hosts(spark):
     import __spark_entry__
     from conftest import SMALL
     from huntframe.schema import unique_events
 
-    e = unique_events(spark, SMALL).cache()
-    by = {}
-    for r in e.select("id", "ts", "ocsf_class", F.explode(F.array_distinct(graph.entity_keys())).alias("k")).collect():
-        by.setdefault(r.k, []).append((r.ts, r.id))
-    assert len(by["host:gw-core-01"]) > 1
-    pairs = [(a[1], b[1]) for rows in by.values() for a, b in itertools.pairwise(sorted(rows)) if b[0] - a[0] <= 30 * M]
-    texts = cp.embedded(e).select("id", "ts", "vec", "severity_id").collect()
-    similar = similar_pairs([(r.id, r.ts, r.vec) for r in texts], 30 * M, 0.5)
-    low = {r.id for r in texts if r.severity_id < 4}
-    assert similar and any(a in low and b in low for a, b in similar)
-    pairs += similar
-    kind, groups = {r.id: r.ocsf_class for r in e.collect()}, {}
-    for i, c in union_find(pairs):
+    rows = cp.embedded(unique_events(spark, SMALL)).withColumn("keys", F.array_distinct(graph.entity_keys())).orderBy("ts", "id").collect()
+    cos, ts = cosines(rows), np.array([r.ts for r in rows])
+    near = np.abs(ts[:, None] - ts[None, :]) <= 30 * M
+    shared = [(i, j) for i in range(len(rows)) for j in range(i + 1, min(i + 400, len(rows))) if near[i, j] and set(rows[i].keys) & set(rows[j].keys)]
+    assert sum("host:gw-core-01" in rows[i].keys and "host:gw-core-01" in rows[j].keys for i, j in shared) > 1
+    similar = set()
+    for i in range(len(rows)):
+        best = sorted((-round(cos[i, j], 9), rows[j].id, j) for j in np.flatnonzero(near[i] & (cos[i] >= 0.5 - 1e-9)) if j != i)[:10]
+        similar |= {(min(i, j), max(i, j)) for _, _, j in best}
+    links = set(shared) | similar
+    assert similar and any(rows[i].severity_id < 4 and rows[j].severity_id < 4 for i, j in similar)
+    groups: dict = {}
+    for i, c in union_find([(rows[i].id, rows[j].id) for i, j in links]):
         groups.setdefault(c, set()).add(i)
-    want = {(c, len(g)) for c, g in groups.items() if len({kind[i] for i in g}) > 1}
-    got = __spark_entry__.queries()["campaigns"](spark, SMALL)
-    assert {(r.campaign, r.n_events) for r in got.collect()} == want
+    kind = {r.id: r.ocsf_class for r in rows}
+    of = {i: c for c, g in groups.items() for i in g}
+    count, total = {}, {}
+    for i, j in links:
+        c = of[rows[i].id]
+        count[c], total[c] = count.get(c, 0) + 1, total.get(c, 0.0) + cos[i, j]
+    want = {(c, len(g), count[c], round(len({kind[i] for i in g}) + (len(g) - 1) * 0.5 + max(0, total[c] / count[c]), 4)) for c, g in groups.items() if len({kind[i] for i in g}) > 1}
+    got = __spark_entry__.queries()["campaigns"](spark, SMALL).collect()
+    assert {(r.campaign, r.n_events, r.n_links, round(r.score, 4)) for r in got} == want
+    assert [(r.score, r.campaign) for r in got] == sorted(((r.score, r.campaign) for r in got), key=lambda x: (-x[0], x[1]))
     linked = {(r.a, r.b) for r in __spark_entry__.queries()["semantic_links"](spark, SMALL).collect()}
-    assert linked == similar_pairs([(r.id, r.ts, r.vec) for r in texts], 360 * M, 0.5)
+    every = np.abs(ts[:, None] - ts[None, :]) <= 360 * M
+    assert linked == {(rows[i].id, rows[j].id) for i, j in zip(*np.nonzero(np.triu(every & (cos >= 0.5 - 1e-9), 1)))}
+
+
+def test_shared_pairs_over_batches_and_spans(spark):
+    rng = random.Random(4)
+    rows = [("c", f"e{i:03d}", rng.randrange(60 * M), rng.sample(["a", "b", "d"], rng.randrange(1, 4)), [rng.choice([-1, 1]) * rng.randrange(1, 9) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "campaign string, id string, ts bigint, keys array<string>, vec array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = cp.shared_pairs(df, 2 * M).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    from huntframe.functions.scores import dense
+
+    x = np.concatenate([dense(np.asarray(r[4]), np.array([4])) for r in rows])
+    norm = np.linalg.norm(x, axis=1)
+    want = [(x[i] @ x[j]) / (norm[i] * norm[j]) if norm[i] * norm[j] else 0.0 for i, j in itertools.combinations(range(200), 2) if abs(rows[i][2] - rows[j][2]) <= 2 * M and set(rows[i][3]) & set(rows[j][3])]
+    assert (got.n, round(got.sim, 9)) == (len(want), round(sum(want), 9)) and len(want) > 300
+
+
+def test_first_technique_in_the_order_of_rules(spark):
+    from huntframe.operators import rules
+
+    df = spark.createDataFrame([event("a", "x y")], DDL)
+    listed = [rules.Rule(n, {"s": [w], "condition": "s"}, tags=[t] if t else []) for n, w, t in (("r0", "x", None), ("r1", "y", "attack.t1552"), ("r2", "x", "attack.t1003"))]
+    found = rules.techniques(df, listed)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [("a", "T1552", 1), ("a", "T1003", 2)]
+    members = spark.createDataFrame([("a", "a")], "campaign string, id string")
+    edges = cp.causal_edges(members, df)
+    assert cp.incidents(cp.chains(members, df, edges), df, edges, found).first().techniques == "T1552"
 
 
 def test_paths_of_a_large_campaign_are_linear():
