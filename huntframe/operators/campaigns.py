@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
+from collections.abc import Callable
 from operator import itemgetter
 
 import numpy as np
@@ -319,13 +320,13 @@ def greedy(anomaly: list[float], out, gamma: float = 0.5) -> tuple[list[int], fl
 SELECTORS = {"beam": beam, "greedy": greedy}
 
 
-def chains(members: DataFrame, events: DataFrame, edges: DataFrame, selector: str = "beam") -> DataFrame:
+def chains(members: DataFrame, events: DataFrame, edges: DataFrame, selector: str | Callable = "beam") -> DataFrame:
     """``(campaign, step, id, path_score)``: the chosen path of each campaign's causal graph.
 
     Nodes and edges of a campaign are linear in its events, and so are the searches; they are
     sequential by nature, so one campaign is one task.
     """
-    choose = SELECTORS[selector]
+    choose = selector if callable(selector) else SELECTORS[selector]
     nodes = events.join(members, "id").select("campaign", "id", "ts", scores.anomaly(F.col("severity_id"), F.col("message")).alias("anomaly"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("double").alias("score"))
     both = nodes.unionByName(edges.select("campaign", F.col("dst").alias("id"), F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("anomaly"), "src", "score"))
 

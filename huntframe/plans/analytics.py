@@ -146,7 +146,7 @@ def tiers_and_retention(spark: SparkSession, d: str) -> DataFrame:
     return tiers[0].unionByName(tiers[1]).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS type, true AS nullable FROM (DESCRIBE segment_events)")
 def schema_discovery(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sql.describe(events(spark, d)), "name string, type string, nullable boolean")
 
@@ -166,6 +166,17 @@ relational(
 )
 relational("sql_join_left", "SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(max(o_totalprice), 0), 2) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
 relational("sql_join_full", "SELECT s_nationkey, c_nationkey, s, c FROM (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY s_nationkey) a FULL OUTER JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey) b ON s_nationkey = c_nationkey")
+relational("sql_join_right", "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name")
+relational("sql_join_cross", "SELECT r_name, v.kind, length(r_name) > v.least AS long_name FROM region CROSS JOIN (SELECT 'short' AS kind, 3 AS least UNION ALL SELECT 'long', 6) v")
+relational("sql_intersect_all", "SELECT c_nationkey % 5 AS k FROM customer INTERSECT ALL SELECT s_nationkey % 5 FROM supplier")
+relational("sql_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+relational(
+    "sql_approximate",
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS parts_near,
+    abs(approx_percentile(l_quantity, 0.5) - median(l_quantity)) <= 2 AS median_near FROM lineitem GROUP BY l_returnflag""",
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS parts_near,
+    abs(approx_quantile(l_quantity, 0.5) - median(l_quantity)) <= 2 AS median_near FROM lineitem GROUP BY l_returnflag""",
+)
 relational("sql_join_semi", "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 relational("sql_join_anti", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 relational(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from huntframe.plans import analytics, data_quality, detection
+from huntframe.plans import analytics, data_quality, detection, hunting
 
-MODULES = [analytics, detection, data_quality]
+MODULES = [analytics, detection, hunting, data_quality]
 
 
 def queries() -> dict:

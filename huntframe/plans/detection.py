@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions import enrich, scores
@@ -119,7 +119,20 @@ def corr_temporal_ordered(spark: SparkSession, d: str) -> DataFrame:
     return _sized(_fired(spark, d, ORDERED))
 
 
-@query()
+def _corr_counts(rule: correlation.CorrelationRule, key: str, holds: str) -> str:
+    return f"SELECT '{rule.id}' AS rule_id, ts FROM ({_fold_sql(rule, key, 'NULL', holds)})"
+
+
+_ORDERED_HOLDS = "coalesce(list_contains(list_transform(win, lambda x: x.r)[list_position(list_transform(win, lambda x: x.r), 'proc-tools'):], 'file-keys') AND list_contains(list_transform(win, lambda x: x.r), 'proc-tools'), false)"
+
+
+@query(
+    SQL_UNIQUE
+    + ", b AS (SELECT rule_id, ts FROM ("
+    + _rule_union("ue", "ts")
+    + f") WHERE rule_id NOT IN ('auth-refused', 'auth-factor', 'proc-tools', 'file-keys')), c AS ({_corr_counts(BRUTE, _USER, 'len(win) >= 3')} UNION ALL {_corr_counts(ORDERED, _HOST, _ORDERED_HOLDS)})"
+    + " SELECT rule_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY rule_id"
+)
 def retro_hunt(spark: SparkSession, d: str) -> DataFrame:
     out = correlation.retro_hunt(unique_events(spark, d), RULES, [BRUTE, ORDERED])
     return out.groupBy("rule_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -189,7 +202,13 @@ def entropy_labels(spark: SparkSession, d: str) -> DataFrame:
     return names.select("target", label.alias("label"), F.round(scores.entropy(label), 4).alias("entropy"))
 
 
-@query()
+@query(
+    SQL_EVENTS
+    + f""", n AS (SELECT *, string_split(CASE WHEN target_kind IN ('domain', 'host') THEN target ELSE coalesce({_J('domain')}, {_J('dns_query')}, {_J('query')}, json_extract_string(fields_json, '$."dns.question.name"'), {_J('host')}) END, '.') AS parts FROM ev),
+    l AS (SELECT id, ts, target, CASE WHEN len(parts) >= 3 THEN parts[-3] ELSE parts[1] END AS label FROM n), d AS (SELECT DISTINCT label FROM l WHERE octet_length(encode(label)) >= 8),
+    c AS (SELECT label, unnest(string_split(label, '')) AS ch FROM d), f AS (SELECT label, ch, count(*) AS k FROM c GROUP BY ALL), e AS (SELECT label, -sum((k / length(label)) * log2(k / length(label))) AS e FROM f GROUP BY label)
+    SELECT id, ts, 'possible generated name: ' || coalesce(target, 'domain') AS title, 'T1568.002' AS technique, round(e, 2) AS dga_score FROM l JOIN e USING (label) WHERE round(e, 2) >= 2.5"""
+)
 def dga_alerts(spark: SparkSession, d: str) -> DataFrame:
     return enrich.dga_alerts(events(spark, d), threshold=2.5).select("id", "ts", "title", "technique", "dga_score")
 
@@ -207,7 +226,14 @@ def ioc_join(spark: SparkSession, d: str) -> DataFrame:
     return enrich.indicator_hits(events(spark, d), enrich.feed(spark, FEED))
 
 
-@query()
+@query(
+    SQL_UNIQUE
+    + """, c AS (SELECT id, ts, unnest([struct_pack(r := 1, p := 3, v := lower(json_extract_string(fields_json, '$."destination.ip"'))), struct_pack(r := 1, p := 4, v := lower(json_extract_string(fields_json, '$."source.ip"'))),
+      struct_pack(r := 1, p := 5, v := lower(json_extract_string(fields_json, '$.dst_ip'))), struct_pack(r := 1, p := 6, v := lower(json_extract_string(fields_json, '$.src_ip'))), struct_pack(r := 2, p := 7, v := lower(json_extract_string(fields_json, '$."dns.question.name"'))),
+      struct_pack(r := 2, p := 8, v := lower(json_extract_string(fields_json, '$.dns_query'))), struct_pack(r := 2, p := 9, v := CASE WHEN target_kind = 'domain' THEN lower(target) END)]) AS x FROM ue),
+    h AS (SELECT id, ts, x.r AS r, x.p AS p, x.v AS indicator FROM c WHERE (x.r = 1 AND x.v IN ('203.0.113.41', '192.0.2.50')) OR (x.r = 2 AND x.v IN ('cdn.qixvault.example', 'login.lowtide.example')))
+    SELECT id, ts, indicator, 'T1071' AS technique, 4 AS severity_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, p, indicator) AS n FROM h) WHERE n = 1"""
+)
 def ioc_alerts(spark: SparkSession, d: str) -> DataFrame:
     make = lambda xs: spark.createDataFrame([(x,) for x in xs], "indicator string")
     return enrich.ioc_alerts(unique_events(spark, d), make(["ab" * 32]), make(["203.0.113.41", "192.0.2.50"]), make(["cdn.qixvault.example", "login.lowtide.example"]))
@@ -264,18 +290,62 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_hop(graph.provenance_edges(unique_events(spark, d)), start, 2)
 
 
+def _sql_vectors(window_us: int) -> str:
+    """Events' texts as sparse hashed vectors, and the cosine of every two events within the window that have a word's place in common."""
+    return (
+        SQL_UNIQUE.replace("WITH ev", "WITH RECURSIVE ev", 1)
+        + f""", tx AS (SELECT id, concat_ws(' ', 'class=' || ocsf_class_name, 'actor=' || coalesce(actor_kind, '') || ':' || actor, 'target=' || coalesce(target_kind, '') || ':' || target, 'host=' || host, CASE WHEN message != '' THEN 'msg=' || message END) AS text FROM ue),
+    tk AS (SELECT id, unnest(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS t FROM tx), pl AS (SELECT id, ('0x' || substr(sha1(t), 39, 2))::INT % 128 AS p, CASE WHEN ('0x' || substr(sha1(t), 32, 1))::INT % 4 >= 2 THEN -1.0 ELSE 1.0 END AS s FROM tk WHERE t != ''),
+    vd AS MATERIALIZED (SELECT id, list(x ORDER BY p) AS v FROM (SELECT id, p, CAST(sum(s) AS DOUBLE) AS x FROM (SELECT id, p, s FROM pl UNION ALL SELECT id, unnest(range(128)), 0.0 FROM ue) GROUP BY id, p) GROUP BY id),
+    bk AS MATERIALIZED (SELECT id, ts, ts // {window_us} AS k, v, list_dot_product(v, v) AS n FROM ue JOIN vd USING (id)),
+    cs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / sqrt(a.n * b.n) AS sim FROM (SELECT *, unnest([k, k + 1]) AS kk FROM bk) a JOIN bk b ON b.k = a.kk AND b.ts >= a.ts AND b.ts <= a.ts + {window_us} WHERE (a.ts < b.ts OR a.id < b.id) AND a.n > 0 AND b.n > 0)"""
+    )
+
+
+_HALF = 30 * cp.MINUTE
+#: Campaigns: sharing pairs and the ten nearest, components by the smallest id that flows along the links, statistics of each.
+SQL_CAMPAIGNS = (
+    _sql_vectors(_HALF)
+    + f""", ks AS (SELECT id, ts, ocsf_class, severity_id, message, list_filter(['host:' || host, coalesce(actor_kind, 'user') || ':' || actor, coalesce(target_kind, 'host') || ':' || target], lambda x: x IS NOT NULL) AS e FROM ue),
+    en AS MATERIALIZED (SELECT DISTINCT id, ts, ts // {_HALF} AS bk, unnest(e) AS k FROM ks),
+    sh AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT *, unnest([bk, bk + 1]) AS kk FROM en) x JOIN en y ON x.k = y.k AND y.bk = x.kk AND y.ts >= x.ts AND y.ts <= x.ts + {_HALF} WHERE x.ts < y.ts OR x.id < y.id),
+    dr AS (SELECT a AS id, b AS o, sim FROM cs WHERE sim >= 0.5 - 1e-9 UNION ALL SELECT b, a, sim FROM cs WHERE sim >= 0.5 - 1e-9), kn AS (SELECT id, o FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, o) AS r FROM dr) WHERE r <= 10),
+    lk AS MATERIALIZED (SELECT least(a, b) AS a, greatest(a, b) AS b FROM sh UNION SELECT least(id, o), greatest(id, o) FROM kn), u AS MATERIALIZED (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+    cc(id, c) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, cc.c FROM cc JOIN u ON cc.id = u.a WHERE cc.c < u.b), mb AS (SELECT id, min(c) AS campaign FROM cc GROUP BY id),
+    st AS (SELECT campaign, count(*) AS n_events, count(DISTINCT ocsf_class) AS n_classes FROM mb JOIN ks USING (id) GROUP BY campaign),
+    li AS (SELECT campaign, count(*) AS n_links, avg(coalesce(sim, 0)) AS sim FROM lk JOIN mb ON mb.id = lk.a LEFT JOIN (SELECT least(a, b) AS a, greatest(a, b) AS b, sim FROM cs) s ON s.a = lk.a AND s.b = lk.b GROUP BY campaign),
+    rt AS (SELECT campaign, n_events, CAST(n_classes AS INTEGER) AS n_classes, n_links, round(n_classes + (n_events - 1) * 0.5 + greatest(sim, 0), 6) AS score FROM st JOIN li USING (campaign) WHERE n_classes >= 2)"""
+)
+
+
 def _campaigns(spark: SparkSession, d: str):
     e = Stages(spark, "events").cut(unique_events(spark, d), "unique")
     similar = cp.nearest_links(cp.embedded(e), 30 * cp.MINUTE)
     return e, *cp.campaigns(e, 30 * cp.MINUTE, similar=similar)
 
 
-@query()
+@query(SQL_CAMPAIGNS + " SELECT * FROM rt")
 def campaigns(spark: SparkSession, d: str) -> DataFrame:
     return cp.by_score(_campaigns(spark, d)[1])
 
 
-@query()
+@query(SQL_CAMPAIGNS + " SELECT campaign, score, CAST(row_number() OVER (ORDER BY score DESC, campaign) AS INTEGER) AS place FROM rt ORDER BY score DESC, campaign LIMIT 20")
+def campaigns_by_score(spark: SparkSession, d: str) -> DataFrame:
+    best = cp.by_score(_campaigns(spark, d)[1]).limit(20)
+    return best.select("campaign", "score", F.row_number().over(Window.orderBy(F.desc("score"), "campaign")).alias("place"))  # of twenty rows
+
+
+_ANOMALY = "least(1.0, CASE severity_id WHEN 6 THEN 0.9 WHEN 5 THEN 0.9 WHEN 4 THEN 0.75 WHEN 3 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END" + "".join(f" + CASE WHEN lower(message) LIKE '%{w}%' THEN 0.1 ELSE 0 END" for w in scores.ANOMALY_WORDS) + ")"
+
+
+@query(
+    SQL_CAMPAIGNS
+    + f""", ce AS (SELECT mb.campaign, en.k, en.id, en.ts, ks.e, {_ANOMALY} AS an FROM en JOIN mb USING (id) JOIN rt ON rt.campaign = mb.campaign JOIN ks ON ks.id = en.id),
+    sp2 AS (SELECT campaign, id AS dst, an, e, lag(id) OVER w AS src, lag(e) OVER w AS pe, ts - lag(ts) OVER w AS delta_us FROM ce WINDOW w AS (PARTITION BY campaign, k ORDER BY ts, id)),
+    sg AS (SELECT DISTINCT campaign, src, dst, delta_us, an, array_to_string(list_filter(pe, lambda x: list_contains(e, x)), ', ') AS shared FROM sp2 WHERE delta_us <= {_HALF})
+    SELECT campaign, src, dst, delta_us, round(least(1.0, 0.45 + 0.25 * (1 / (1 + delta_us / 1e6 / 60)) + 0.30 * an), 6) AS score, shared,
+      'shares ' || shared || '; Δt=' || CASE WHEN delta_us / 1e6 < 90 THEN CAST(CAST(round(delta_us / 1e6) AS BIGINT) AS VARCHAR) || 's' ELSE printf('%.1fmin', round(delta_us / 1e6 / 60, 1)) END AS reason FROM sg"""
+)
 def causal_edges(spark: SparkSession, d: str) -> DataFrame:
     e, _, members = _campaigns(spark, d)
     return cp.causal_edges(members, e)
@@ -297,7 +367,7 @@ def incidents_greedy(spark: SparkSession, d: str) -> DataFrame:
     return _incidents(spark, d, "greedy")
 
 
-@query()
+@query(_sql_vectors(6 * 60 * cp.MINUTE) + " SELECT a, b, round(sim, 6) AS sim FROM cs WHERE sim >= 0.5 - 1e-9")
 def semantic_links(spark: SparkSession, d: str) -> DataFrame:
     return cp.semantic_links(cp.embedded(unique_events(spark, d)), 6 * 60 * cp.MINUTE).select("a", "b", F.round("sim", 6).alias("sim"))
 

@@ -1,7 +1,9 @@
 """Extensions by name with declared capabilities; nothing is allowed that is not granted.
 
-A processor maps a DataFrame to a DataFrame; a detector maps it to alerts. A plugin that may
-read certain fields only is given a view that holds no others.
+A processor maps events to events, a detector maps them to alerts, a correlator maps alerts and
+events to alerts, a storage plugin takes events and keeps them, a selector picks a path through
+a campaign's graph, an embedder or scorer is a model by contract. A plugin that may read certain
+fields only is given a view that holds no others.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huntframe.schema import ALERT
+
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Manifest:
     name: str
-    kind: str  # processor, detector, correlator, selector
+    kind: str  # processor, detector, correlator, selector, storage, embedder, scorer
     capabilities: tuple[str, ...] = ()
 
 
@@ -56,6 +60,48 @@ class Registry:
             events = run(self._view(manifest, events))
         return events
 
+    def _known(self, name: str, kind: str) -> tuple[Manifest, Callable]:
+        manifest, run = self.items[name]
+        if manifest.kind != kind:
+            raise ValueError(f"{name} is a {manifest.kind}, not a {kind}")
+        return manifest, run
+
+    def detect(self, names: list[str], events: DataFrame) -> DataFrame:
+        """Alerts of detectors, each under its own name unless it names a rule."""
+        out = events.sparkSession.createDataFrame([], ALERT)
+        for n in names:
+            manifest, run = self._known(n, "detector")
+            found = run(self._view(manifest, events))
+            lacking = {f.name: F.lit(None).cast(f.dataType) for f in ALERT if f.name not in found.columns}
+            if "rule_id" in lacking:
+                lacking["rule_id"] = F.lit(n)
+            if "events" in lacking and "id" in found.columns:
+                lacking["events"] = F.array("id")
+            out = out.unionByName(found.withColumns(lacking).select(*ALERT.fieldNames()))
+        return out
+
+    def correlate(self, names: list[str], alerts: DataFrame, events: DataFrame) -> DataFrame:
+        """The alerts with those that correlators make of them."""
+        out = alerts
+        for n in names:
+            manifest, run = self._known(n, "correlator")
+            out = out.unionByName(run(alerts, self._view(manifest, events)).select(*ALERT.fieldNames()))
+        return out
+
+    def keep(self, names: list[str], events: DataFrame) -> None:
+        """Gives events to storage plugins."""
+        for n in names:
+            manifest, run = self._known(n, "storage")
+            run(self._view(manifest, events))
+
+    def selector(self, name: str) -> Callable:
+        """A path selector, to be passed to ``campaigns.chains``."""
+        return self._known(name, "selector")[1]
+
+    def model(self, name: str, kind: str) -> Callable:
+        """An ``embedder`` or ``scorer``, to be passed to ``models.embed`` or ``models.score``."""
+        return self._known(name, kind)[1]
+
     @staticmethod
     def _view(manifest: Manifest, events: DataFrame) -> DataFrame:
         fields = [c.split(":", 2)[2] for c in manifest.capabilities if c.startswith("read:field:")]

@@ -95,6 +95,21 @@ class SegmentStore:
         return len(segments)
 
 
+def read_drifted(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Segments written by other versions as one table: columns a segment lacks are null, columns it has beyond the model are left out.
+
+    Each path is read under its own schema, so a column that changed its type is cast, and what
+    cannot be cast is null.
+    """
+    out = None
+    for path in paths:
+        rows = spark.read.parquet(path)
+        held = set(rows.columns)
+        rows = rows.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in held else F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT])
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], EVENT) if out is None else out
+
+
 def segment_stats(events: DataFrame, width_us: int) -> DataFrame:
     """``(segment, min_ts, max_ts, n)`` of events cut into spans of time."""
     return events.groupBy(F.call_function("div", F.col("ts"), F.lit(width_us)).alias("segment")).agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count("*").alias("n"))

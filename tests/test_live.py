@@ -80,6 +80,7 @@ def test_configuration():
 def test_variants(spark):
     got = {v: evals.evaluate(evals.scenario(spark), variant=v) for v in evals.VARIANTS}
     assert got["combined"]["ari"] > 0.9 and got["provenance"]["ari"] > 0.9 and got["rules"]["chain_similarity"] == 0.0 and got["semantic"]["ari"] <= 1.0
+    assert got["rules"]["technique_f1"] == 1.0 and got["combined"]["nmi"] >= got["rules"]["nmi"] > 0.5
     mean, half = evals.evaluate_seeds(spark, [1, 2], "provenance")["ari"]
     assert mean > 0.9 and half >= 0
 

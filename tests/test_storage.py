@@ -188,6 +188,53 @@ def test_plugins(spark, caplog):
     assert plugins.routed(e, pipes, "rules").count() == 1 and plugins.routed(e, pipes, "index").count() == 2 and plugins.routed(e, pipes, "other").count() == 0
 
 
+def test_plugins_of_every_kind_run(spark):
+    from huntframe.functions import models
+    from huntframe.operators import campaigns as cp
+
+    r = plugins.Registry({"detector": ["read:field:*"], "storage": [], "correlator": []})
+    kept = []
+    r.register(plugins.Manifest("loud", "detector", ("read:field:a",)), lambda e: e.where(F.col("fields_json").contains("x")).select("id", "ts", F.lit("Loud").alias("title"), F.lit(4).alias("severity_id")))
+    r.register(plugins.Manifest("twice", "correlator"), lambda alerts, e: alerts.withColumn("rule_id", F.concat("rule_id", F.lit("-again"))))
+    r.register(plugins.Manifest("list", "storage"), lambda e: kept.extend(row.id for row in e.collect()))
+    r.register(plugins.Manifest("last", "selector"), lambda anomaly, out: ([len(anomaly) - 1], 1.0))
+    r.register(plugins.Manifest("ones", "embedder"), lambda texts: [[1.0, 0.0]] * len(texts))
+    df = events(spark, [1, 2]).withColumn("fields_json", F.when(F.col("ts") == 1, '{"a": "x"}').otherwise('{"a": "y", "b": "x"}'))
+    found = r.detect(["loud"], df)
+    assert [(a.rule_id, a.events, a.title) for a in found.collect()] == [("loud", ["e1"], "Loud")]
+    assert sorted(a.rule_id for a in r.correlate(["twice"], found, df).collect()) == ["loud", "loud-again"]
+    r.keep(["list"], df)
+    assert sorted(kept) == ["e1", "e2"]
+    members = df.select(F.lit("c").alias("campaign"), "id")
+    assert [c.id for c in cp.chains(members, df, cp.causal_edges(members, df), r.selector("last")).collect()] == ["e2"]
+    with pytest.raises(ValueError):
+        r.selector("loud")
+    vec = df.select(models.embed(F.col("message"), r.model("ones", "embedder"), 2).alias("v"), models.embed(F.col("message"), lambda t: 1 / 0).alias("h"), models.score([F.col("ts")], lambda x: x[:, 0] / 2).alias("s"), models.score([F.col("ts")], "no.such:model", 0.5).alias("d")).collect()
+    assert [v.v for v in vec] == [[1.0, 0.0]] * 2 and len(vec[0].h) == 128 and abs(sum(x * x for x in vec[0].h) - 1) < 1e-9
+    assert sorted(v.s for v in vec) == [0.5, 1.0] and {v.d for v in vec} == {0.5}
+
+
+def test_agents_durable_and_live(spark):
+    from huntframe.sources.registry import AGENT, AgentRegistry
+
+    r = AgentRegistry(spark, scratch(spark, "agents"))
+    r.enrol(spark.createDataFrame([("a", "h1", 10, 10), ("b", "h2", 20, 20), (None, "x", 1, 1)], AGENT))
+    r.enrol(spark.createDataFrame([("a", "h9", 30, 30)], AGENT))
+    live = spark.createDataFrame([("a", 50, True), ("a", 40, False), ("z", 60, False)], "agent_id string, last_seen bigint, isolated boolean")
+    assert [tuple(x) for x in r.view(live).collect()] == [("b", "h2", 20, False, 20, False), ("a", "h9", 10, True, 50, True)]
+
+
+def test_segments_of_other_schemas(spark, tmp_path):
+    from huntframe.sources.segments import read_drifted
+
+    rows = events(spark, [1, 2])
+    rows.drop("target", "fields_json").withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "old"))
+    rows.withColumn("severity_id", F.when(F.col("ts") == 1, "4").otherwise("high")).write.parquet(str(tmp_path / "text"))
+    got = read_drifted(spark, [str(tmp_path / "old"), str(tmp_path / "text")])
+    assert got.schema == EVENT and sorted((r.id, r.fields_json, r.severity_id) for r in got.collect() if r.fields_json) == [("e1", "{}", 4), ("e2", "{}", None)]
+    assert got.count() == 4 and read_drifted(spark, []).count() == 0
+
+
 def test_tail_source(spark, tmp_path):
     log, check, out = tmp_path / "a.log", str(tmp_path / "ck"), str(tmp_path / "out")
     log.write_bytes(b"one\r\n\ntwo\npart")
