@@ -54,9 +54,10 @@ def embed(text: Column, model: Callable | str, dim: int = DIM) -> Column:
 
 def score(features: list[Column], model: Callable | str, default: float = 0.0) -> Column:
     """A score from 0 to 1 of numeric features; nulls count as 0. ``model``: an array (rows, features) to an array (rows)."""
+    width = len(features)
 
     def run(rows: pd.Series) -> pd.Series:
-        x = np.stack(rows.to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, len(features)))
+        x = np.stack(rows.to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, width))
         try:
             y = np.asarray(resolve(model)(x), dtype=np.float64)
             if y.shape != (len(x),) or not np.isfinite(y).all():
