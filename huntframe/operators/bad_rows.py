@@ -4,7 +4,8 @@ Every frame is parsed by JVM expressions into cells ``(row, column, value, kind)
 frame's form shows (valid UTF-8, balanced quoting, number of fields) are cells too, with
 names that start with ``@``. Cells are exploded, joined with a rule table, checked, and the
 failed checks of a frame are aggregated to the one of the lowest rank; frames that have none
-are the anti-join. Only failing cells are shuffled, so a hot input costs nothing extra.
+are the anti-join. Only failing cells are shuffled, so a hot input costs nothing extra. Loading
+takes the fields from the cells of the same parse, within the row.
 
 Defined cases: a null or blank frame fails with ``columns``; bytes that are not UTF-8 with
 ``value``; a codec that is null or unknown has no form beyond these two; a JSON scalar loads
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.functions.text import let, stripped
+from huntframe.functions.text import as_map, let, stripped
+from huntframe.session import Stages
 
 CELL = "struct<item:int,col:string,val:string,kind:string>"
 
@@ -214,10 +216,15 @@ def _syslog(text: Column) -> tuple[Column, Column, Column]:
     return quoting, good, F.when(good & quoting, F.array(_cell("@pri", pri), _cell("@time", time), _cell("host", host)))
 
 
-def cells(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
-    """``(key, codec, item, col, val, kind)``: one row per cell of each frame."""
+def parsed(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
+    """``(key, codec, cells)``: each frame with the array of its cells; one parse serves both failures and loading."""
+    return _parsed(frames, raw, codec, key, [])
+
+
+def _parsed(frames: DataFrame, raw: str, codec: str, key: str, keep: list[str]) -> DataFrame:
     empty = F.expr(f"cast(array() as array<{CELL}>)")
     f = frames.select(
+        *keep,
         F.col(key).alias("key"),
         F.when(F.lower(F.col(codec)).isin("json", "csv", "syslog", "cef", "leef"), F.lower(F.col(codec))).otherwise("raw").alias("codec"),
         F.coalesce(F.col(raw).cast("string"), F.lit("")).alias("s"),
@@ -243,12 +250,21 @@ def cells(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str =
         part("leef", F.concat(F.array(_cell("@columns", leef_ok)), F.coalesce(leef_cells, empty))),
         part("syslog", F.concat(F.array(_cell("@quoting", sys_quoted), _cell("@columns", sys_ok)), F.coalesce(sys_cells, empty))),
     )
-    return f.select("key", "codec", F.explode(every).alias("c")).select("key", "codec", "c.*")
+    return f.select(*keep, "key", "codec", every.alias("cells"))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """``(key, codec, item, col, val, kind)``: one row per cell of parsed frames."""
+    return rows.select("key", "codec", F.explode("cells").alias("c")).select("key", "codec", "c.*")
 
 
 def failures(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
     """``(key, reason)``: each frame that breaks its form, with the first reason that applies."""
-    spark = frames.sparkSession
+    return _failures(parsed(frames, raw, codec, key)).withColumnRenamed("key", key)
+
+
+def _failures(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
     number = F.when(F.col("val").rlike(r"^\d{1,18}$"), F.col("val").try_cast("long"))
     inside = F.coalesce((number >= F.col("lo")) & (number <= F.coalesce("hi", F.lit(2**62))), F.lit(False))
     passed = F.coalesce(
@@ -260,9 +276,9 @@ def failures(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str
         F.lit(False),
     )
     # The rules are a fixed list of about 50 rows, so sending them to every executor is bounded.
-    bad = cells(frames, raw, codec, key).join(F.broadcast(rule_table(spark)), ["codec", "col"]).where(~passed)
+    bad = cells(rows).join(F.broadcast(rule_table(spark)), ["codec", "col"]).where(~passed)
     reason = F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("rank"))
-    return bad.groupBy("key").agg(F.min("rank").alias("rank")).select(F.col("key").alias(key), reason.alias("reason"))
+    return bad.groupBy("key").agg(F.min("rank").alias("rank")).select("key", reason.alias("reason"))
 
 
 def loaded(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
@@ -271,15 +287,13 @@ def loaded(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str =
     Field names of the second and later objects of a JSON array carry the object's number. An
     input column named ``fields`` gives way to the map; rows without a key count as one frame.
     """
-    bad = failures(frames, raw, codec, key).select(F.col(key).alias("_bad"))
-    kept = frames.select(*[c for c in frames.columns if c != "fields"])
-    good = kept.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti").dropDuplicates([key])
-    name = F.when(F.col("item") > 0, F.concat(F.col("item").cast("string"), F.lit("."), F.col("col"))).otherwise(F.col("col"))
-    fields = (
-        cells(good, raw, codec, key)
-        .where(~F.col("col").isin("@utf8", "@text", "@quoting", "@columns", "@time"))
-        .groupBy("key")
-        .agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(name.alias("k"), F.coalesce("val", F.lit("")).alias("v"))))).alias("fields"))
-    )
-    found = fields.select(F.col("key").alias("_found"), "fields")
-    return good.join(found, F.col(key).eqNullSafe(F.col("_found")), "left").drop("_found")
+    kept = [c for c in frames.columns if c != "fields"]
+    # The input's columns travel in one struct, so that none of their names clashes with a parsed one.
+    whole = frames.select(F.struct(*kept).alias("row"), *[F.col(c).alias(f"_{i}") for i, c in enumerate((raw, codec, key))])
+    rows = Stages(frames.sparkSession, "frames").cut(_parsed(whole, "_0", "_1", "_2", ["row"]), "parsed")
+    bad = _failures(rows).select(F.col("key").alias("_bad"))
+    good = rows.join(bad, F.col("key").eqNullSafe(F.col("_bad")), "left_anti").dropDuplicates(["key"])
+    name = lambda c: F.when(c["item"] > 0, F.concat(c["item"].cast("string"), F.lit("."), c["col"])).otherwise(c["col"])
+    told = F.filter("cells", lambda c: ~c["col"].isin("@utf8", "@text", "@quoting", "@columns", "@time"))
+    fields = as_map(F.transform(told, lambda c: F.struct(name(c).alias("k"), F.coalesce(c["val"], F.lit("")).alias("v"))))
+    return good.select("row.*", fields.alias("fields"))

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huntframe.functions.text import as_map
 from huntframe.session import Stages
 
 CHANGE = "file_id bigint, change_kind string, field_before string, field_after string, type_before string, type_after string"
@@ -186,15 +187,13 @@ def canonical(files: DataFrame, columns: DataFrame, changed: DataFrame) -> DataF
 def unified(files: DataFrame, lines: DataFrame, payload: str = "payload") -> DataFrame:
     """Every line as ``(file_id, line_no, fields map<string,string>)`` under unified names."""
     columns = Stages(lines.sparkSession, "unified").cut(profiles(lines, payload), "columns")
-    names = canonical(files, columns, changes(files, columns)).select("file_id", "name", "column")
+    names = canonical(files, columns, changes(files, columns))
+    # A file's names are a map of as many entries as it has columns; rows are renamed where they are.
+    entry = F.struct(F.col("name").alias("k"), F.col("column").alias("v"))
+    renamed = names.groupBy(F.col("file_id").alias("_file")).agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("_names"))
     object_ = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
-    cells = (
-        lines.dropDuplicates(["file_id", "line_no"])
-        .select("file_id", "line_no", F.explode_outer(F.map_entries(object_)).alias("e"))
-        .select("file_id", "line_no", F.col("e.key").alias("name"), F.try_variant_get("e.value", "$", "string").alias("val"))
-    )
-    held = cells.join(names, ["file_id", "name"], "left").where(F.col("column").isNotNull() | F.col("name").isNull())
-    entry = F.when(F.col("column").isNotNull() & F.col("val").isNotNull(), F.struct(F.col("column").alias("k"), F.col("val").alias("v")))
+    held = lines.dropDuplicates(["file_id", "line_no"]).join(renamed, F.col("file_id") == F.col("_file"), "left")
+    found = F.transform(F.map_entries(object_), lambda e: F.struct(F.try_element_at("_names", e["key"]).alias("k"), F.try_variant_get(e["value"], "$", "string").alias("v")))
+    found = F.filter(F.coalesce(found, F.expr("cast(array() as array<struct<k:string,v:string>>)")), lambda e: e["v"].isNotNull())
     # Two old names may lead to one column in a line; the greater text holds.
-    best = held.select("file_id", "line_no", "column", "val").groupBy("file_id", "line_no", "column").agg(F.max("val").alias("val"))
-    return best.groupBy("file_id", "line_no").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fields"))
+    return held.select("file_id", "line_no", as_map(found).alias("fields"))

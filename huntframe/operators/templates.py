@@ -2,7 +2,7 @@
 
 ``mine`` is the sequential algorithm over messages in order; it is exact and meant for one
 file or one stream partition. ``mine_table`` is for whole tables: messages are dealt to shards
-by token count, first token and a hash, each shard mines its own templates, and the templates
+by token count and a hash, each shard mines its own templates, and the templates
 of one token count, which are few, are merged by the same rule. Messages never meet in one
 task by group; a pass over them assigns each the merged template of its local one.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from huntframe.session import Stages
 
 WILDCARD = "<*>"
+#: Distinct messages of a shard; there are as many shards as these make of the table.
+SHARD_ROWS = 200_000
 
 
 class Miner:
@@ -53,11 +55,16 @@ def mine(messages: list[str], threshold: float = 0.5) -> list[tuple[int, str, li
     return out
 
 
-def mine_table(rows: DataFrame, message: str = "message", order: str = "ts", threshold: float = 0.5, shards: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Assignments ``(message, n, template_id)`` of distinct messages, and templates ``(template_id, template, n)``."""
+def mine_table(rows: DataFrame, message: str = "message", order: str = "ts", threshold: float = 0.5, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Assignments ``(message, n, template_id)`` of distinct messages, and templates ``(template_id, template, n)``.
+
+    Up to ``shard_rows`` distinct messages the result is that of ``mine`` over the messages in order.
+    """
     stages = Stages(rows.sparkSession, "templates")
     distinct = rows.where(F.col(message).isNotNull()).groupBy(F.col(message).alias("message")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     words = F.filter(F.split("message", r"\s+"), lambda w: w != "")
+    distinct = stages.cut(distinct, "distinct")
+    shards = -(-distinct.count() // shard_rows) or 1
     distinct = distinct.withColumns({"n_tokens": F.size(words), "shard": F.pmod(F.xxhash64("message"), F.lit(shards))})
     distinct = distinct.repartition("n_tokens", "shard").sortWithinPartitions("n_tokens", "shard", "first", "message")
 
@@ -79,6 +86,8 @@ def mine_table(rows: DataFrame, message: str = "message", order: str = "ts", thr
 
     def merged(g: pd.DataFrame) -> pd.DataFrame:
         """Local templates of one token count: as many as there are kinds of messages, times the shards."""
+        if g.shard.nunique() == 1:
+            return g.assign(merged=g.local)[["n_tokens", "shard", "local", "merged", "template"]]
         g = g.sort_values(["first", "template", "shard", "local"])
         miner = Miner(threshold)
         at = [miner.add(t.split()) for t in g.template]

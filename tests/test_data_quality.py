@@ -76,6 +76,32 @@ def test_long_frames_and_loading(spark):
     assert bad_rows.loaded(df.where("frame_id is null and raw is not null")).first().fields == {"a": "1", "1.b": "c"}
 
 
+def test_loaded_fields_equal_plain_parsing(spark):
+    import csv
+    import json
+
+    f = small("codec_frames").drop_duplicates("frame_id")
+    good = {i: (c, b) for i, c, b in zip(f.frame_id, f.codec, f.raw) if brute.frame_reason(c, b) is None}
+    got = {r.frame_id: json.loads(r.fields_json) for r in data_quality.p1_loaded(spark, SMALL).collect()}
+    assert set(got) == set(good)
+    for i, (c, b) in good.items():
+        text = b.decode().strip()
+        if c == "csv":
+            assert got[i] == dict(zip(["src_ip", "src_port", "dst_ip", "dst_port", "proto", "action", "bytes", "rule", "comment"], next(csv.reader([text]))))
+        elif c == "json":
+            value = json.loads(text)
+            objects = [o for o in (value if isinstance(value, list) else [value]) if isinstance(o, dict)]
+            want = {(f"{n}." if n else "") + k for n, o in enumerate(objects) for k, v in o.items() if v is not None}
+            assert set(got[i]) == want and all(got[i][k] == v for k, v in (objects[0] if objects else {}).items() if isinstance(v, str))
+        else:
+            assert got[i]
+
+
+def test_repeated_names_in_a_frame(spark):
+    df = spark.createDataFrame([(1, "cef", b"CEF:0|a|b|c|d|e|5|msg=one msg=two")], "frame_id bigint, codec string, raw binary")
+    assert bad_rows.loaded(df).first().fields["msg"] == "two"
+
+
 def test_no_frames(spark):
     df = spark.createDataFrame([], "frame_id bigint, codec string, raw binary")
     assert bad_rows.failures(df).count() == 0 and bad_rows.loaded(df).count() == 0
@@ -113,6 +139,30 @@ def test_changes_of_small_files(spark):
     assert one[3, 2] == {"app": "a"} and one[2, 1]["x"] == "true" and one[1, 3] == {}
 
 
+def test_unified_lines_equal_brute_force(spark):
+    import json
+
+    f, l = small("traffic_files").drop_duplicates("file_id"), small("traffic_lines").drop_duplicates(["file_id", "line_no"])
+    changed = brute.drift([(a, b, c) for a, b, c in zip(f.feed, f.file_no, f.file_id)], zip(l.file_id, l.payload))
+    renamed = {(c[0], c[3]): c[2] for c in changed if c[1] == "renamed"}
+    column, held = {}, {}
+    for i, p in zip(l.file_id, l.payload):
+        if p is not None and isinstance(o := json.loads(p), dict):
+            held.setdefault(i, set()).update(k for k, v in o.items() if v is not None)
+    for _, feed in f.sort_values(["feed", "file_no", "file_id"]).groupby("feed"):
+        current: dict = {}
+        for i in feed.file_id:
+            now = {k: current.get(renamed.get((i, k), k), renamed.get((i, k), k)) for k in held.get(i, ())}
+            current.update(now)
+            column[i] = now
+    got = {(r.file_id, r.line_no): json.loads(r.fields_json) for r in data_quality.p2_unified(spark, SMALL).collect()}
+    assert set(got) == set(zip(l.file_id, l.line_no))
+    for i, n, p in zip(l.file_id, l.line_no, l.payload):
+        o = json.loads(p) if p is not None else {}
+        want = {column[i][k]: v for k, v in (o.items() if isinstance(o, dict) else ()) if v is not None}
+        assert set(got[i, n]) == set(want) and all(got[i, n][k] == v for k, v in want.items() if isinstance(v, str))
+
+
 def test_equal_candidates_are_matched_by_name(spark):
     lines = [(1, 1, '{"user_name": 1, "dst_port": 1}'), (2, 1, '{"dstPort": 1, "userName": 1}')]
     files, lines = drift_tables(spark, lines)

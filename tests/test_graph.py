@@ -108,6 +108,21 @@ def test_templates(spark):
     by = {r.template: r.n for r in kinds.collect()}
     assert by["login of <*> from <*>"] == 60 and by["disk full"] == 2 and len(by) == 4 and assigned.agg(F.sum("n")).first()[0] == 64
     assert templates.mine_table(spark.createDataFrame([], "message string, ts bigint"))[1].count() == 0
+    many, few = templates.mine_table(spark.createDataFrame(rows, "message string, ts bigint"), shard_rows=7)[1], kinds
+    assert {tuple(r) for r in many.collect()} == {tuple(r) for r in few.collect()}
+
+
+def test_templates_of_a_table_equal_the_sequential_ones(spark):
+    from conftest import SMALL
+    from huntframe.schema import events
+
+    rows = events(spark, SMALL).where("message is not null").groupBy("message").agg(F.min("ts").alias("ts")).orderBy("ts", "message").collect()
+    final = templates.Miner()
+    at = [final.add(r.message.split()) for r in rows]
+    want = {r.message: " ".join(final.templates[i]) for r, i in zip(rows, at)}
+    assigned, kinds = templates.mine_table(events(spark, SMALL))
+    names = {r.template_id: r.template for r in kinds.collect()}
+    assert {r.message: names[r.template_id] for r in assigned.collect()} == want
 
 
 def test_exact_neighbours(spark):
