@@ -144,6 +144,57 @@ def decode_records(spark: SparkSession, d: str) -> DataFrame:
     return r.select("frame_id", "codec", "item", F.size("fields").alias("n_fields"), F.try_element_at("fields", F.lit("message")).alias("message"), F.map_contains_key("fields", "decode_error").alias("dead"))
 
 
+def _decoded(spark: SparkSession, d: str, codec: str) -> DataFrame:
+    frames = table(spark, d, "codec_frames").where(F.col("codec") == codec).where(F.is_valid_utf8(F.col("raw").cast("string"))).dropDuplicates(["frame_id"])
+    return codecs.decode(frames.select("frame_id", "codec", "raw"))
+
+
+def _sql_texts(codec: str) -> str:
+    return f"WITH t AS (SELECT DISTINCT frame_id, regexp_replace(trim(try(decode(raw))), '[\\r\\n]+$', '') AS s FROM codec_frames WHERE codec = '{codec}' AND try(decode(raw)) IS NOT NULL)"
+
+
+@query(
+    _sql_texts("json")
+    + """, o AS (SELECT frame_id, s, CASE WHEN json_valid(s) THEN json_type(s) END AS k FROM t), a AS (SELECT frame_id, unnest(from_json(s, '["JSON"]')) AS e, unnest(range(CAST(json_array_length(s) AS BIGINT))) AS item FROM o WHERE k = 'ARRAY')
+    SELECT frame_id, 0 AS item, 2 AS n_fields, true AS dead FROM o WHERE k IS NULL UNION ALL SELECT frame_id, 0, CAST(len(json_keys(s)) AS INTEGER), false FROM o WHERE k = 'OBJECT'
+    UNION ALL SELECT frame_id, CAST(item AS INTEGER), CAST(CASE WHEN json_type(e) = 'OBJECT' THEN len(json_keys(e)) ELSE 1 END AS INTEGER), false FROM a UNION ALL SELECT frame_id, 0, 1, false FROM o WHERE k NOT IN ('OBJECT', 'ARRAY')"""
+)
+def decode_json(spark: SparkSession, d: str) -> DataFrame:
+    return _decoded(spark, d, "json").select("frame_id", "item", F.size("fields").alias("n_fields"), F.map_contains_key("fields", "decode_error").alias("dead"))
+
+
+def _headers(fields: list[str]):
+    at = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))
+    return [at(k).alias(k) for k in fields]
+
+
+_SHOW = "trim(replace(replace({}, chr(2), '|'), chr(1), chr(92)))"
+
+
+@query(
+    _sql_texts("cef")
+    + r""", f AS (SELECT frame_id, s, string_split(replace(replace(regexp_extract(s, '(?s)CEF:(.*)$', 1), '\\', chr(1)), '\|', chr(2)), '|') AS f FROM t)
+    SELECT frame_id, """
+    + ", ".join(f"CASE WHEN contains(s, 'CEF:') AND len(f) >= 7 THEN {_SHOW.format(f'f[{i + 1}]')} ELSE '' END AS {k}" for i, k in enumerate(["cef_version", "device_vendor", "device_product", "device_version", "signature_id", "name", "cef_severity"]))
+    + ", NOT (contains(s, 'CEF:') AND len(f) >= 7) AS dead FROM f"
+)
+def decode_cef(spark: SparkSession, d: str) -> DataFrame:
+    names = ["cef_version", "device_vendor", "device_product", "device_version", "signature_id", "name", "cef_severity"]
+    return _decoded(spark, d, "cef").select("frame_id", *_headers(names), F.map_contains_key("fields", "decode_error").alias("dead"))
+
+
+@query(
+    _sql_texts("leef")
+    + r""", f AS (SELECT frame_id, s, string_split(replace(replace(regexp_extract(s, '(?s)LEEF:(.*)$', 1), '\\', chr(1)), '\|', chr(2)), '|') AS f FROM t), g AS (SELECT *, contains(s, 'LEEF:') AND len(f) >= CASE WHEN f[1] LIKE '2%' THEN 7 ELSE 6 END AS good FROM f)
+    SELECT frame_id, """
+    + ", ".join(f"CASE WHEN good THEN {_SHOW.format(f'f[{i + 1}]')} ELSE '' END AS {k}" for i, k in enumerate(["leef_version", "device_vendor", "device_product", "device_version", "event_id"]))
+    + ", NOT good AS dead FROM g"
+)
+def decode_leef(spark: SparkSession, d: str) -> DataFrame:
+    names = ["leef_version", "device_vendor", "device_product", "device_version", "event_id"]
+    return _decoded(spark, d, "leef").select("frame_id", *[F.trim(F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))).alias(k) for k in names], F.map_contains_key("fields", "decode_error").alias("dead"))
+
+
 @query(
     r"""WITH t AS (SELECT DISTINCT frame_id, regexp_extract(try(decode(raw)), '^\s*<(\d{1,3})>', 1) AS pri FROM codec_frames WHERE codec = 'syslog' AND try(decode(raw)) IS NOT NULL)
     SELECT frame_id, CAST(pri AS INTEGER) // 8 AS facility, CAST(pri AS INTEGER) % 8 AS severity FROM t WHERE pri != ''"""

@@ -57,7 +57,10 @@ def json_records(text: Column) -> Column:
         other = F.array(_map({"message": F.coalesce(value(v), F.lit("null"))}))
         return F.when(v.isNull(), F.array(dead)).otherwise(F.coalesce(let(one, lambda m: F.when(m.isNotNull(), F.array(full(m)))), F.transform(many, element), other))
 
-    return let(F.try_parse_json(text), records)
+    # The parser stops at the end of the first value; only a text that is one value inside brackets and inside braces is one.
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return let(F.when(named.isNotNull(), let(listed, lambda x: F.when(F.size(x) == 1, x[0]))), records)
 
 
 _SD = r"^(-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: |$)"
