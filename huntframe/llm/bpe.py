@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where the vocabulary files lie; a parameter of every public function here.
@@ -153,9 +154,9 @@ _tables: dict[str, Tables] = {}
 
 
 def tables(path: str) -> Tables:
-    """The tables of a vocabulary file of ranks, once per process."""
+    """The tables of a vocabulary file of ranks, once per process; where the path is unknown, of the file shipped under its name."""
     if path not in _tables:
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             _tables[path] = Tables({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
     return _tables[path]
 
@@ -234,5 +235,14 @@ def lengths(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_tokens bigint")
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
 def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> str:
-    return os.path.join(spark.conf.get("spark.huntframe.tokenizers", VOCABULARIES), name)
+    """The path of a vocabulary file, which the driver ships to the executors, so that they need no such folder."""
+    path = os.path.join(spark.conf.get("spark.huntframe.tokenizers", VOCABULARIES), name)
+    app = spark.sparkContext.applicationId
+    if (app, path) not in _shipped and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _shipped.add((app, path))
+    return path

@@ -212,6 +212,13 @@ def test_speculation_equals_exact_merging(parts):
     assert t.encode_words(parts) == [tuple(t.merge([t.ids[bytes([c])] for c in w.encode()])) for w in parts]
 
 
+def test_the_vocabulary_is_shipped(spark):
+    bpe.vocabulary(spark)
+    gone = "/no/such/folder/" + VOCABULARY.rsplit("/", 1)[1]  # what an executor without the folder sees
+    df = spark.createDataFrame([(1, "hello there")], "doc_id bigint, text string")
+    assert bpe.encode(df, gone).first().ids == bpe.encode(df, VOCABULARY).first().ids
+
+
 def test_known_words_are_bounded(monkeypatch, tiktoken_encoding):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
     e = bpe.Encoder(VOCABULARY)
