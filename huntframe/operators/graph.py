@@ -85,30 +85,38 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(pairs: DataFrame, max_levels: int = 100, jumps: int = 2) -> DataFrame:
     """``(id, component)`` of pairs ``(a, b)``: the smallest id that each id reaches.
 
-    Alternating star rounds: larger neighbours are tied to the smallest neighbour, then smaller
-    ones. Each round is one grouped minimum and one join; hubs turn into stars, so the
-    number of rounds grows with the logarithm of the diameter.
+    Every vertex points at the neighbour, or itself, that comes first in an order drawn from a
+    hash of id and level; pointers are followed by doubling, and the edges are drawn anew between
+    the vertices pointed at. The order is as good as random, so pointers form short chains and
+    each level has a fraction of the vertices of the one before, whatever the diameter. The
+    levels' pointers are composed from the last to the first, and the smallest id names the rest.
     """
-    stages = Stages(pairs.sparkSession, "stars")
-    edges = pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stages.cut(edges, "edges")
-    count = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stages.cut(large.where("u != v"), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        edges = stages.cut(small, "edges")
-        stat = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if stat == count:
-            break
-        count = stat
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    stages = Stages(pairs.sparkSession, "components")
+    edges = stages.cut(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    levels: list[DataFrame] = []
+    while not edges.isEmpty():
+        if len(levels) == max_levels:
+            raise RuntimeError(f"edges are left after {max_levels} levels")
+        u, v = (F.struct(F.xxhash64(c, F.lit(len(levels))).alias("h"), F.col(c).alias("id")) for c in "uv")
+        # Both ends of an edge point at the end that comes first, which for one of them is itself.
+        first = F.least(u, v)
+        ends = F.explode(F.array(F.struct(F.col("u").alias("id"), first.alias("p")), F.struct(F.col("v").alias("id"), first.alias("p")))).alias("e")
+        to = edges.select(ends).select("e.*").groupBy("id").agg(F.min("p").alias("p")).select("id", F.col("p.id").alias("p"))
+        for _ in range(jumps):
+            to = to.join(to.select(F.col("id").alias("p"), F.col("p").alias("far")), "p").select("id", F.col("far").alias("p"))
+        to = stages.cut(to, f"level{len(levels)}")
+        levels.append(to)
+        drawn = edges.join(to.select(F.col("id").alias("u"), F.col("p").alias("pu")), "u").select("pu", "v").distinct()
+        drawn = drawn.join(to.select(F.col("id").alias("v"), F.col("p").alias("pv")), "v").where("pu != pv")
+        edges = stages.cut(drawn.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")
+    if not levels:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    root = levels[-1].select("id", F.col("p").alias("component"))
+    for lower in reversed(levels[:-1]):
+        root = lower.join(root.select(F.col("id").alias("p"), "component"), "p", "left").select("id", F.coalesce("component", "p").alias("component"))
+    root = stages.cut(root, "root")
+    least = root.groupBy("component").agg(F.min("id").alias("least"))
+    return root.join(least, "component").select("id", F.col("least").alias("component"))

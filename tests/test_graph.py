@@ -50,6 +50,13 @@ def test_components_equal_union_find(spark, n, m):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_components_of_long_chains_and_hubs(spark):
+    n = 4000
+    pairs = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(n)] + [("hub", f"leaf{i}") for i in range(n)]
+    got = spark.createDataFrame(pairs, "a string, b string").transform(graph.components)
+    assert {tuple(r) for r in got.groupBy("component").count().collect()} == {("c00000", n + 1), ("hub", n + 1)}
+
+
 def test_scenario_is_found(spark):
     got = evals.evaluate(evals.scenario(spark))
     assert got["ari"] > 0.9 and got["nmi"] > 0.9 and got["technique_f1"] == 1.0 and got["chain_similarity"] > 0.9 and got["alert_reduction"] == 0.8
