@@ -216,12 +216,12 @@ def _syslog(text: Column) -> tuple[Column, Column, Column]:
     return quoting, good, F.when(good & quoting, F.array(_cell("@pri", pri), _cell("@time", time), _cell("host", host)))
 
 
-def parsed(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
-    """``(key, codec, cells)``: each frame with the array of its cells; one parse serves both failures and loading."""
-    return _parsed(frames, raw, codec, key, [])
+def _parsed(frames: DataFrame, raw: str, codec: str, key: str, keep: list[str]) -> tuple[DataFrame, Column]:
+    """Frames with ``key`` and ``codec``, and the array of a frame's cells as an expression over them.
 
-
-def _parsed(frames: DataFrame, raw: str, codec: str, key: str, keep: list[str]) -> DataFrame:
+    The array is exploded as an expression: as a column, the optimizer would guess that empty ones
+    can be filtered first and parse every frame twice.
+    """
     empty = F.expr(f"cast(array() as array<{CELL}>)")
     f = frames.select(
         *keep,
@@ -250,21 +250,25 @@ def _parsed(frames: DataFrame, raw: str, codec: str, key: str, keep: list[str])
         part("leef", F.concat(F.array(_cell("@columns", leef_ok)), F.coalesce(leef_cells, empty))),
         part("syslog", F.concat(F.array(_cell("@quoting", sys_quoted), _cell("@columns", sys_ok)), F.coalesce(sys_cells, empty))),
     )
-    return f.select(*keep, "key", "codec", every.alias("cells"))
+    return f, every
+
+
+def cells(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
+    """``(key, codec, item, col, val, kind)``: one row per cell of each frame."""
+    return _flat(*_parsed(frames, raw, codec, key, []))
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """``(key, codec, item, col, val, kind)``: one row per cell of parsed frames."""
-    return rows.select("key", "codec", F.explode("cells").alias("c")).select("key", "codec", "c.*")
+def _flat(rows: DataFrame, array: Column) -> DataFrame:
+    return rows.select("key", "codec", F.explode(array).alias("c")).select("key", "codec", "c.*")
 
 
 def failures(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str = "frame_id") -> DataFrame:
     """``(key, reason)``: each frame that breaks its form, with the first reason that applies."""
-    return _failures(parsed(frames, raw, codec, key)).withColumnRenamed("key", key)
+    return _failures(cells(frames, raw, codec, key)).withColumnRenamed("key", key)
 
 
-def _failures(rows: DataFrame) -> DataFrame:
-    spark = rows.sparkSession
+def _failures(flat: DataFrame) -> DataFrame:
+    spark = flat.sparkSession
     number = F.when(F.col("val").rlike(r"^\d{1,18}$"), F.col("val").try_cast("long"))
     inside = F.coalesce((number >= F.col("lo")) & (number <= F.coalesce("hi", F.lit(2**62))), F.lit(False))
     passed = F.coalesce(
@@ -276,7 +280,7 @@ def _failures(rows: DataFrame) -> DataFrame:
         F.lit(False),
     )
     # The rules are a fixed list of about 50 rows, so sending them to every executor is bounded.
-    bad = cells(rows).join(F.broadcast(rule_table(spark)), ["codec", "col"]).where(~passed)
+    bad = flat.join(F.broadcast(rule_table(spark)), ["codec", "col"]).where(~passed)
     reason = F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("rank"))
     return bad.groupBy("key").agg(F.min("rank").alias("rank")).select("key", reason.alias("reason"))
 
@@ -290,8 +294,9 @@ def loaded(frames: DataFrame, raw: str = "raw", codec: str = "codec", key: str =
     kept = [c for c in frames.columns if c != "fields"]
     # The input's columns travel in one struct, so that none of their names clashes with a parsed one.
     whole = frames.select(F.struct(*kept).alias("row"), *[F.col(c).alias(f"_{i}") for i, c in enumerate((raw, codec, key))])
-    rows = Stages(frames.sparkSession, "frames").cut(_parsed(whole, "_0", "_1", "_2", ["row"]), "parsed")
-    bad = _failures(rows).select(F.col("key").alias("_bad"))
+    read, array = _parsed(whole, "_0", "_1", "_2", ["row"])
+    rows = Stages(frames.sparkSession, "frames").cut(read.select("row", "key", "codec", array.alias("cells")), "parsed")
+    bad = _failures(_flat(rows, F.col("cells"))).select(F.col("key").alias("_bad"))
     good = rows.join(bad, F.col("key").eqNullSafe(F.col("_bad")), "left_anti").dropDuplicates(["key"])
     name = lambda c: F.when(c["item"] > 0, F.concat(c["item"].cast("string"), F.lit("."), c["col"])).otherwise(c["col"])
     told = F.filter("cells", lambda c: ~c["col"].isin("@utf8", "@text", "@quoting", "@columns", "@time"))
