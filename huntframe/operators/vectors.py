@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4_096
+#: Rows of a block, and blocks of the corpus that share a key.
+BLOCK, GROUP = 4_096, 16
 
 
 def _blocks(vectors: DataFrame, id_: str, vec: str, block: int) -> DataFrame:
@@ -49,9 +50,14 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, id_: str = "vec_id
                 keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(qi)))[i] < n
                 yield pd.DataFrame({"id": qi[i[keep]], "other": ci[j[keep]], "cosine": s[i[keep], j[keep]]})
 
-    # Blocks against blocks: this is the stated query set against all rows.
+    # Blocks against blocks: the stated query set against all rows. The corpus is dealt to groups, and
+    # every block of queries goes to each group of its dimension, so no key holds more than GROUP blocks.
     q = _blocks(queries, id_, vec, BLOCK // 4)
-    c = _blocks(corpus, id_, vec, BLOCK).select(F.col("ids").alias("other_ids"), F.col("data").alias("other_data"), F.col("dim").alias("other_dim"))
-    pairs = q.join(c, q.dim == c.other_dim).select("ids", "data", "other_ids", "other_data").mapInPandas(meet, "id bigint, other bigint, cosine double")
+    c = _blocks(corpus, id_, vec, BLOCK)
+    groups = max(1, -(-corpus.count() // (GROUP * BLOCK)))
+    c = c.select(F.col("ids").alias("other_ids"), F.col("data").alias("other_data"), F.col("dim").alias("other_dim"), F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("other_group"))
+    q = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+    met = q.join(c, (F.col("dim") == F.col("other_dim")) & (F.col("group") == F.col("other_group")))
+    pairs = met.select("ids", "data", "other_ids", "other_data").mapInPandas(meet, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -67,6 +67,51 @@ def test_datagrams(spark):
         q.stop()
 
 
+def free_port(kind):
+    with socket.socket(socket.AF_INET, kind) as probe:
+        probe.bind(("127.0.0.1", 0))
+        return probe.getsockname()[1]
+
+
+def test_received_frames_survive_a_restart(tmp_path):
+    port = free_port(socket.SOCK_DGRAM)
+    options = {"port": str(port), "spool": str(tmp_path / "spool")}
+    r = tail.FrameReader(options)
+    assert list(r.read({"n": 0})[0]) == []
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        for i in range(3):
+            s.sendto(f"<34>frame {i}".encode(), ("127.0.0.1", port))
+    time.sleep(0.2)
+    got, end = r.read({"n": 0})
+    assert [t for _, t in got] == ["<34>frame 0", "<34>frame 1", "<34>frame 2"] and end == {"n": 3}
+    r.commit({"n": 1})
+    r.listener.socket.close()
+    with open(tmp_path / "spool" / "frames.jsonl", "a") as f:
+        f.write('[3, "cut sho')  # the driver was lost while it wrote
+    again = tail.FrameReader(options)
+    assert [t for _, t in again.readBetweenOffsets({"n": 1}, {"n": 3})] == ["<34>frame 1", "<34>frame 2"]
+    again.commit({"n": 3})
+    last = tail.FrameReader(options)
+    assert list(last.readBetweenOffsets({"n": 0}, {"n": 9})) == [] and last._spool().next == 3
+    again.listener and again.listener.socket.close()
+
+
+def test_lines_of_tcp_peers():
+    port = free_port(socket.SOCK_STREAM)
+    listener = tail.Listener("tcp", "127.0.0.1", port)
+    a, b = (socket.create_connection(("127.0.0.1", port)) for _ in range(2))
+    a.sendall(b"one\r\n\ntw")
+    b.sendall(b"other\n")
+    time.sleep(0.2)
+    assert sorted(listener.frames()) == ["one", "other"]
+    a.sendall(b"o\nrest")
+    a.close()
+    time.sleep(0.2)
+    assert listener.frames() == ["two", "rest"] and listener.frames() == []
+    b.close()
+    listener.socket.close()
+
+
 def test_configuration():
     good = {"inputs": [{"id": "a", "type": "file", "codec": "json"}], "pipelines": [{"id": "p", "inputs": ["a"], "route": ["index", "rules"]}], "retention": {"warm": "30d"}}
     assert config.validate(good) == ([], [])
