@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.functions import enrich, scores
+from huntframe.functions.normalize import normalize
 from huntframe.operators import graph, rules, search
-from huntframe.plans import live, sql
-from huntframe.plans.detection import _ANOMALY, _ENTITIES, _J, RULES, _rule_union
+from huntframe.plans import live, plugins, sql
+from huntframe.plans.detection import _ANOMALY, _ENTITIES, _J, _TRAFFIC, RULES, _rule_union
 from huntframe.schema import SQL_EVENTS, SQL_UNIQUE, events, unique_events
-from huntframe.session import Stages, scratch
+from huntframe.session import Stages, scratch, table
 from huntframe.sources import alerts as store
+from huntframe.sources import sinks
 from huntframe.sources.registry import AgentRegistry
 from huntframe.sources.segments import read_drifted
 
@@ -167,3 +169,48 @@ def live_detection(spark: SparkSession, d: str) -> DataFrame:
     generated.__name__ = "generated-names"
     found = live.detect(Stages(spark, "live").cut(unique_events(spark, d), "events"), RULES, [], [generated])
     return found.groupBy("rule_id", F.coalesce("technique", F.lit("")).alias("technique")).agg(F.count("*").alias("n"))
+
+
+_AUTH = "username IS NOT NULL OR lower(message) LIKE '%authentication%' OR lower(message) LIKE '%failed password%' OR lower(message) LIKE '%login%' OR lower(message) LIKE '%logon%' OR lower(message) LIKE '%sshd%'"
+
+
+@query(
+    f"""SELECT event_id, coalesce(message, '') AS message, coalesce(nullif(username, ''), nullif(regexp_extract(message, '(?i:for) (?:invalid user )?(\\S+)', 1), ''), '') AS actor FROM (SELECT DISTINCT * FROM mixed_traffic) WHERE {_AUTH}"""
+)
+def normalize_users(spark: SparkSession, d: str) -> DataFrame:
+    """The user of each authentication record, from its field or from its message."""
+    t = table(spark, d, "mixed_traffic").distinct()
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in _TRAFFIC.items()])
+    records = t.select("event_id", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("fields"))
+    return normalize(records).where("ocsf_class = 3002").select("event_id", "message", F.coalesce("actor", F.lit("")).alias("actor"))
+
+
+_TITLES = "CASE rule_id " + " ".join(f"WHEN '{r.rule_id}' THEN '{r.title}'" for r in RULES) + " END"
+_LEVELS = "CASE severity_id WHEN 1 THEN 'INFORMATIONAL' WHEN 2 THEN 'LOW' WHEN 3 THEN 'MEDIUM' WHEN 4 THEN 'HIGH' WHEN 5 THEN 'CRITICAL' END"
+
+
+@query(
+    SQL_UNIQUE
+    + f""", a AS (SELECT *, {_TITLES} AS title, row_number() OVER (PARTITION BY rule_id ORDER BY ts, id) AS n FROM ({_rule_union("ue", "id, ts")}))
+    SELECT rule_id, '{{"text":"[' || {_LEVELS} || '] ' || title || coalesce(' (' || technique || ')', '') || '"}}' AS chat, '{{"fields":{{"project":{{"key":"SEC"}},"summary":"' || title || '","description":"' || id || '","issuetype":{{"name":"Task"}}}}}}' AS ticket FROM a WHERE n = 1"""
+)
+def sink_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """What is sent for the first alert of each rule; the alerts pass through a JSON lines sink on the way."""
+    path = f"{scratch(spark, 'sink')}/alerts"
+    found = rules.match(unique_events(spark, d), RULES)
+    sinks.write_json_lines(found, path)
+    stored = spark.read.schema(found.schema).json(path)
+    return sinks.first_per_rule(stored).select("rule_id", sinks.chat_payload().alias("chat"), sinks.ticket_payload("SEC").alias("ticket"))
+
+
+@query(SQL_UNIQUE + " SELECT id, ts FROM ue WHERE ' ' || trim(lower(regexp_replace(message, '[^\\p{L}\\p{N}]+', ' ', 'g'))) || ' ' LIKE '% flow %' ORDER BY ts DESC, id LIMIT 1000")
+def search_clamped(spark: SparkSession, d: str) -> DataFrame:
+    """A limit beyond the greatest one gives the newest thousand."""
+    return search.search(unique_events(spark, d), "message:flow", limit=1_000_000).select("id", "ts")
+
+
+@query("SELECT tenant, count(*) AS n FROM segment_events WHERE tenant IN ('juniper', 'marsh', 'quarry') GROUP BY tenant")
+def routed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the inputs (tenants here) whose pipelines lead to the rules."""
+    pipelines = [{"inputs": ["juniper", "marsh"], "route": ["rules", "index"]}, {"inputs": ["quarry"], "route": ["rules"]}, {"inputs": ["vesper"], "route": ["index"]}]
+    return plugins.routed(events(spark, d).withColumn("input_id", F.col("tenant")), pipelines, "rules").groupBy("tenant").agg(F.count("*").alias("n"))
