@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions import enrich, scores
 from huntframe.functions.normalize import normalize
-from huntframe.operators import graph, rules, search
+from huntframe.operators import evals, graph, rules, search
 from huntframe.plans import live, plugins, sql
 from huntframe.plans.detection import _ANOMALY, _ENTITIES, _J, _TRAFFIC, RULES, _rule_union
-from huntframe.schema import SQL_EVENTS, SQL_UNIQUE, events, unique_events
+from huntframe.schema import CLASSES, SQL_EVENTS, SQL_UNIQUE, events, unique_events
 from huntframe.session import Stages, scratch, table
 from huntframe.sources import alerts as store
 from huntframe.sources import sinks
@@ -214,3 +214,49 @@ def routed_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of the inputs (tenants here) whose pipelines lead to the rules."""
     pipelines = [{"inputs": ["juniper", "marsh"], "route": ["rules", "index"]}, {"inputs": ["quarry"], "route": ["rules"]}, {"inputs": ["vesper"], "route": ["index"]}]
     return plugins.routed(events(spark, d).withColumn("input_id", F.col("tenant")), pipelines, "rules").groupBy("tenant").agg(F.count("*").alias("n"))
+
+
+_T95 = "[" + ", ".join(map(str, evals.T95)) + "]"
+
+
+@query(
+    SQL_EVENTS
+    + f""", d AS (SELECT tenant, ts // 86400000000 AS day, count(*) AS k FROM ev GROUP BY ALL), g AS (SELECT tenant, count(*) AS n, avg(k) AS mean, stddev_samp(k) AS sd FROM d GROUP BY tenant)
+    SELECT tenant, n, round(mean, 6) AS mean, round(CASE WHEN n < 2 THEN 0.0 ELSE CAST(CASE WHEN n <= 31 THEN {_T95}[CAST(n - 1 AS INTEGER)] ELSE 1.96 END AS DOUBLE) * sd / sqrt(n) END, 6) AS half_width FROM g"""
+)
+def daily_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Mean events a day of each tenant with the half width of its 95 % interval."""
+    days = events(spark, d).groupBy("tenant", F.call_function("div", F.col("ts"), F.lit(86_400_000_000)).alias("day")).agg(F.count("*").alias("k"))
+    return evals.intervals(days, ["tenant"], "k").select("tenant", "n", F.round("mean", 6).alias("mean"), F.round("half_width", 6).alias("half_width"))
+
+
+_ALPHABET = [*CLASSES, 1008]
+_LETTERS = "CASE ocsf_class " + " ".join(f"WHEN {c} THEN '{chr(65 + i)}'" for i, c in enumerate(_ALPHABET)) + " ELSE '?' END"
+
+
+@query(
+    SQL_UNIQUE
+    + f""", o AS (SELECT host, ocsf_class, row_number() OVER (PARTITION BY host ORDER BY ts, id) AS i, row_number() OVER (PARTITION BY host ORDER BY ts DESC, id DESC) AS j FROM ue WHERE host IS NOT NULL),
+    c AS (SELECT *, {_LETTERS} AS ch FROM o), a AS (SELECT host, string_agg(ch, '' ORDER BY i) AS s FROM c WHERE i <= 12 GROUP BY host), b AS (SELECT host, string_agg(ch, '' ORDER BY i) AS s FROM c WHERE j <= 12 GROUP BY host)
+    SELECT host, round(1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) AS similarity FROM a JOIN b USING (host)"""
+)
+def chain_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the first and the last twelve steps of each host are, by the classes of their events."""
+    rows = unique_events(spark, d).where("host is not null").select("host", "ts", "id", "ocsf_class")
+    ends = {}
+    for name, order in (("a", ("ts", "id")), ("b", (F.desc("ts"), F.desc("id")))):  # a rank limit works before the shuffle, so a busy host sends twelve rows a task
+        kept = rows.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(*order))).where("r <= 12")
+        ends[name] = kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "ocsf_class"))), lambda x: x["ocsf_class"]).alias(name))
+    both = ends["a"].join(ends["b"], "host")
+    return both.select("host", F.round(evals.sequence_similarity(F.col("a"), F.col("b"), _ALPHABET), 6).alias("similarity"))
+
+
+@query(
+    SQL_UNIQUE
+    + f""", n AS (SELECT id, string_split(CASE WHEN target_kind IN ('domain', 'host') THEN target ELSE coalesce({_J("domain")}, {_J("dns_query")}, {_J("query")}, json_extract_string(fields_json, '$."dns.question.name"'), {_J("host")}) END, '.') AS parts FROM ue),
+    l AS (SELECT id, CASE WHEN len(parts) >= 3 THEN parts[-3] ELSE parts[1] END AS label FROM n), d AS (SELECT DISTINCT label FROM l WHERE octet_length(encode(label)) >= 8),
+    c AS (SELECT label, unnest(string_split(label, '')) AS ch FROM d), f AS (SELECT label, ch, count(*) AS k FROM c GROUP BY ALL), e AS (SELECT label, -sum((k / length(label)) * log2(k / length(label))) AS e FROM f GROUP BY label)
+    SELECT id, label AS dns_label, round(e, 2) AS entropy, coalesce(e >= 3.5, false) AS suspect FROM l LEFT JOIN e USING (label) WHERE label IS NOT NULL"""
+)
+def entropy_fields(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.with_entropy(unique_events(spark, d)).where("dns_label is not null").select("id", "dns_label", "entropy", "suspect")

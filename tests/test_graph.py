@@ -159,6 +159,14 @@ def test_measures(spark):
     assert evals.edit_distance(list("abcd"), list("acbd")) == 2 and evals.chain_similarity([], []) == 1.0
     assert evals.mean_interval([1.0]) == (1.0, 0.0) and abs(evals.mean_interval([1.0, 2.0, 3.0])[1] - 4.303 / 3**0.5) < 1e-3
     assert list(itertools.islice(evals.T95, 2)) == [12.706, 4.303]
+    v = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 5.0), ("c", None)] + [("d", float(i)) for i in range(40)], "k string, v double")
+    got = {r.k: (r.n, r.mean, r.half_width) for r in evals.intervals(v, ["k"], "v").collect()}
+    for k, values in (("a", [1.0, 2.0, 3.0]), ("b", [5.0]), ("d", [float(i) for i in range(40)])):
+        assert got[k][0] == len(values) and np.allclose(got[k][1:], evals.mean_interval(values))
+    assert set(got) == {"a", "b", "d"}
+    chains = [(list("abcd"), list("acbd")), ([], []), (list("ab"), []), (list("aaz"), list("aay"))]
+    rows = spark.createDataFrame(chains, "a array<string>, b array<string>").select(evals.sequence_similarity(F.col("a"), F.col("b"), list("abcd")).alias("s")).collect()
+    assert [r.s for r in rows] == [0.5, 1.0, 0.0, 1.0]
 
 
 def cosines(rows):
