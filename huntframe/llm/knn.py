@@ -264,7 +264,7 @@ def calibrated(tree: Tree, classes: DataFrame, near: DataFrame, dim: int, most:
     return ends, visits
 
 
-def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str = "vec", k: str = "knn", recall: float = 0.99, leaf_rows: int = 1024) -> DataFrame:
+def neighbours(vectors: DataFrame, dim: int, *, id_: str = "vec_id", vec: str = "vec", k: str = "knn", recall: float = 0.99, leaf_rows: int = 2048) -> DataFrame:
     """``(id, other, cosine)``: the k most similar vectors of every vector."""
     spark = vectors.sparkSession
     stages = Stages(spark, "knn")
