@@ -102,3 +102,28 @@ def test_entry_imports_without_a_session():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True)
+
+
+def odd_lines(d) -> str:
+    rows = [(f, k, q) for f in ("A", "N", None) for k in (1, 2, 2, None, -7) for q in (1.0, 4.0, 50.0)]
+    rows += [("only nulls", None, None), ("no part", None, 3.0), ("no quantity", 5, None), ("far apart", 1, 1.0), ("far apart", 2, 50.0), ("", 9, 0.0), ("", 9, -0.0)]
+    pd.DataFrame(rows, columns=["l_returnflag", "l_partkey", "l_quantity"]).astype({"l_partkey": "Int64", "l_quantity": "Float64"}).to_parquet(f"{d}/lineitem.parquet")
+    os.symlink(f"{SMALL}/part.parquet", f"{d}/part.parquet")
+    return str(d)
+
+
+def test_approximate_on_odd_lines(spark, tmp_path):
+    from huntframe.plans.analytics import WRITTEN
+
+    d = odd_lines(tmp_path)
+    got, written = QUERIES["sql_approximate"](spark, d), WRITTEN["sql_approximate"](spark, d)
+    assert got.dtypes == written.dtypes
+    assert normal(got.toPandas()) == normal(written.toPandas()) and got.count() == 8
+    want = duckdb.connect().execute(ORACLE["sql_approximate"].replace("FROM lineitem", f"FROM '{d}/lineitem.parquet'")).df()
+    assert normal(got.toPandas().query("l_returnflag != 'far apart'")) == normal(want.query("l_returnflag != 'far apart'"))  # the middle of two is either to Spark, between them to DuckDB
+
+
+def test_approximate_keeps_no_sketch_per_part(spark):
+    plan = QUERIES["sql_approximate"](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    by_part = [x for x in plan.splitlines() if "Aggregate(keys=" in x and "l_partkey" in x.split("functions=")[0]]
+    assert by_part and not any("percentile" in x or "median" in x or "approx_count_distinct" in x for x in by_part)
